@@ -107,7 +107,8 @@ def align_by_position(words: DataFrame, pauses: DataFrame, runs: DataFrame, paus
             F.col("end_s").alias("syn_end_s"),
             F.col("rms_db"),
         )
-        return ref.join(other, ["series_id", "ordinal"], how)
+        mine = ref.select("series_id", "ordinal", "label", "start_s", "end_s")
+        return mine.join(other, ["series_id", "ordinal"], how)
 
     def shaped(df: DataFrame, is_pause: bool) -> DataFrame:
         missing = F.col("syn_start_s").isNull()
@@ -331,11 +332,12 @@ def correct_knobs(
     return out
 
 
-def emotion_targets(df: DataFrame, targets: DataFrame, emotion: str = "emotion") -> DataFrame:
-    """Targets per row, shifted by the emotion's offsets (none for others)."""
+def emotion_targets(df: DataFrame, targets: dict[str, float], emotion: str = "emotion") -> DataFrame:
+    """One row per target metric, shifted by the emotion's offset (none for others)."""
     offsets = F.broadcast(literal_rows(df, tables.EMOTION_OFFSETS, f"{emotion} string, metric string, offset double"))
+    aims = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(v).alias("target")) for m, v in targets.items()])
     return (
-        df.join(F.broadcast(targets), F.lit(True))
+        df.select("*", F.inline(aims))
         .join(offsets, [emotion, "metric"], "left")
         .withColumn("target", F.col("target") + F.coalesce("offset", F.lit(0.0)))
         .drop("offset")
@@ -402,8 +404,7 @@ def upsert_presets(existing: DataFrame, generated: DataFrame, prefix: str = "aut
 
 def default_on_empty(rows: DataFrame, fallback: DataFrame) -> DataFrame:
     """``rows``, or ``fallback`` when there are none."""
-    some = rows.limit(1).select(F.lit(1).alias("_some"))
-    return rows.unionByName(fallback.join(some, F.lit(True), "left_anti"))
+    return rows.unionByName(fallback.filter(~rows.limit(1).exists()))
 
 
 def parameter_grid(bounds: DataFrame, steps: int) -> DataFrame:

@@ -203,7 +203,7 @@ def order_statistics(
     blocked = with_block(counted, value, rows_per_block, "_vblock")
     upto = prefix(blocked, keys, [value], "_vblock", {"_upto": F.col("_n")})
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("n_rows"))
-    hit = upto.join(sizes, list(keys)) if keys else upto.crossJoin(F.broadcast(sizes))
+    hit = upto.join(sizes, list(keys)) if keys else upto.withColumn("n_rows", sizes.scalar())
     picks = []
     for name, rank in ranks.items():
         at = rank(F.col("n_rows"))

@@ -361,11 +361,15 @@ def min_max_normalise(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
     bounds = df.groupBy(*keys).agg(
         *[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns]
     )
-    joined = df.join(bounds, list(keys)) if keys else df.crossJoin(F.broadcast(bounds))
+    if keys:
+        joined, bound = df.join(bounds, list(keys)), F.col
+    else:
+        one = bounds.select(F.struct("*")).scalar()
+        joined, bound = df, one.getField
     scaled = []
     for c in columns:
-        span = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
-        scaled.append(F.when(span > 1e-6, (F.col(c) - F.col(f"_lo_{c}")) / span).otherwise(0.5).alias(c))
+        span = bound(f"_hi_{c}") - bound(f"_lo_{c}")
+        scaled.append(F.when(span > 1e-6, (F.col(c) - bound(f"_lo_{c}")) / span).otherwise(0.5).alias(c))
     return joined.select(*[c for c in df.columns if c not in columns], *scaled)
 
 

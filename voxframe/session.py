@@ -16,6 +16,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
         .appName("voxframe")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
