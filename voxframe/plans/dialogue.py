@@ -572,11 +572,9 @@ def _nudge(axis: int, name: str) -> str:
     ),
 )
 def painted_strokes(spark, sf):
-    parts = tr.strokes(F.col("text"))
-    docs = table(spark, sf, "documents")
-    rows = docs.select(
-        "doc_id", F.size(parts).alias("n_strokes"), F.posexplode(parts).alias("stroke_idx", "s")
-    ).select(
+    # the strokes are a column of their own, or their count would be redone per row
+    split = table(spark, sf, "documents").select("doc_id", tr.strokes(F.col("text")).alias("parts"))
+    rows = split.select("doc_id", F.size("parts").alias("n_strokes"), F.posexplode("parts").alias("stroke_idx", "s")).select(
         "doc_id", "n_strokes", "stroke_idx", "s.delimiter",
         ((F.col("doc_id") % 10) / 9.0).alias("arousal"), ((F.col("doc_id") % 7) / 6.0).alias("dominance"), ((F.col("doc_id") % 4) / 3.0).alias("valence"),
     )
