@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxframe.functions import kernels
+from voxframe.functions.scalar import clamp
 
 
 def warp(ref: DataFrame, syn: DataFrame, keys: Sequence[str], idx: str = "frame_idx", value: str = "value") -> DataFrame:
@@ -53,8 +54,10 @@ def contour_correlation(path: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pearson correlation along the path; 0 when there is no variation."""
     stats = path.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr("ref_value", "syn_value").alias("r"),
-        (F.sqrt(F.var_pop("ref_value") * F.var_pop("syn_value")) * F.count(F.lit(1))).alias("spread"),
+        F.covar_pop("ref_value", "syn_value").alias("_cov"),
+        F.sqrt(F.var_pop("ref_value") * F.var_pop("syn_value")).alias("_sd"),
     )
-    flat = (F.col("n") < 2) | (F.col("spread") < 1e-12) | F.isnan("r") | F.col("r").isNull()
-    return stats.select(*keys, "n", F.when(flat, 0.0).otherwise(F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0))).alias("correlation"))
+    # not F.corr: in ANSI mode it fails on a constant side
+    flat = (F.col("n") < 2) | (F.col("_sd") * F.col("n") < 1e-12)
+    r = F.when(flat, 0.0).otherwise(clamp(F.try_divide(F.col("_cov"), F.col("_sd")), -1.0, 1.0))
+    return stats.select(*keys, "n", r.alias("correlation"))
