@@ -52,8 +52,7 @@ def compare(spark, con, name, fn, sql, sf):
     if got_cols != want_cols:
         return False, f"columns {got_cols} != {want_cols}"
     if got != want:
-        extra = [g for g in got if g not in set(want)][:2]
-        missing = [w for w in want if w not in set(got)][:2]
+        extra, missing = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
         return False, f"rows {len(got)} vs {len(want)}\n   spark {extra}\n   sql   {missing}"
     if not got:
         return False, "both empty"

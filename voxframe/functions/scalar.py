@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 def rnd(x: Column, digits: int) -> Column:
     """Round half away from zero on the scaled double; never a negative zero."""
     scale = 10.0**digits
-    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale + F.lit(0.0)
+    scaled = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale + F.lit(0.0)
+    # floor gives a bigint, which cannot hold an infinity
+    return F.when(F.abs(x) == float("inf"), x).otherwise(scaled)
 
 
 def clamp(x: Column, lo: Column | float, hi: Column | float) -> Column:
