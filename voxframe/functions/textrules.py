@@ -391,9 +391,8 @@ def caps_words(tokens: Column) -> Column:
     )
 
 
-def emotion_signals(text: Column) -> list[tuple[str, int, str, Column]]:
-    """(class, weight, name, fired) for every rule."""
-    tokens = words(text)
+def emotion_hits(text: Column, tokens: Column) -> Column:
+    """array<boolean> of the fired rules, in rule order."""
     caps = F.size(caps_words(tokens))
     shout = text.rlike("[!]{3,}")
     special = {
@@ -401,37 +400,37 @@ def emotion_signals(text: Column) -> list[tuple[str, int, str, Column]]:
         "double-exclamation": text.rlike("[!]{2}") & ~shout,
         "short-aggressive": (F.size(tokens) < 6) & text.rlike("[!?]") & ~shout,
     }
-    return [
-        (cls, weight, name, special[name] if pattern is None else text.rlike(f"(?iuUd){pattern}"))
-        for cls, weight, name, pattern in EMOTION_RULES
-    ]
+    return F.array(
+        *[special[name] if pattern is None else text.rlike(f"(?iuUd){pattern}") for _, _, name, pattern in EMOTION_RULES]
+    )
 
 
-def detect_emotion(text: Column) -> Column:
+def emotion_reading(hits: Column) -> Column:
     """struct<emotion, confidence, signals>; on a tie the later class wins."""
-    fired = emotion_signals(text)
-    scores = F.struct(
+    fired = [(cls, weight, name, hits[i]) for i, (cls, weight, name, _) in enumerate(EMOTION_RULES)]
+    scored = F.array(
         *[
-            reduce(lambda a, b: a + b, [F.when(hit, w).otherwise(0) for c, w, _, hit in fired if c == cls]).alias(cls)
-            for cls in EMOTION_CLASSES
+            F.struct(
+                reduce(lambda a, b: a + b, [F.when(hit, w).otherwise(0) for c, w, _, hit in fired if c == cls]).alias("score"),
+                F.lit(i).alias("order"),
+                F.lit(cls).alias("emotion"),
+            )
+            for i, cls in enumerate(EMOTION_CLASSES)
         ]
     )
-    ranked = F.array_max(
-        F.array(
-            *[
-                F.struct(scores[cls].alias("score"), F.lit(i).alias("order"), F.lit(cls).alias("emotion"))
-                for i, cls in enumerate(EMOTION_CLASSES)
-            ]
-        )
-    )
-    none = ranked["score"] == 0
+    top = F.array_max(scored)
     return F.struct(
-        F.when(none, "neutral").otherwise(ranked["emotion"]).alias("emotion"),
-        F.least(F.lit(1.0), ranked["score"] / 4.0).alias("confidence"),
+        F.when(top["score"] == 0, "neutral").otherwise(top["emotion"]).alias("emotion"),
+        F.least(F.lit(1.0), top["score"] / 4.0).alias("confidence"),
         F.array_compact(F.array(*[F.when(hit, name) for _, _, name, hit in fired])).alias("signals"),
     )
 
 
+def detect_emotion(text: Column) -> Column:
+    """The reading of one text; over a table prefer ``text.tag_emotion``."""
+    return emotion_reading(emotion_hits(text, words(text)))
+
+
 def placement_scores(sentence: Column) -> Column:
     """struct<prefix, mid, suffix> chances for an insertion."""
     n_words = F.size(words(sentence))

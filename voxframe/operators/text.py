@@ -14,8 +14,12 @@ from voxframe.operators.compare import literal_rows
 
 
 def normalise_messages(df: DataFrame, text: str = "text") -> DataFrame:
-    """Clean text: code and model artefacts out, markdown stripped, numbers spoken."""
-    return df.withColumn("clean", tr.strip_markdown(tr.scrub_artefacts(F.col(text))))
+    """Clean text: code and model artefacts out, markdown stripped, numbers spoken.
+
+    The markdown step is a column of its own, as the number step reads it twice.
+    """
+    plain = df.withColumn("clean", tr.strip_markdown(tr.scrub_artefacts(F.col(text)), numbers=False))
+    return plain.withColumn("clean", tr.strip(tr.normalise_numbers(F.col("clean"))))
 
 
 def removal_counts(cleaned: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -40,7 +44,14 @@ def stroke_rows(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataF
 
 
 def tag_emotion(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("_e", tr.detect_emotion(F.col(text))).select("*", "_e.*").drop("_e")
+    """Emotion, confidence and signals per text.
+
+    Words and rule hits are columns of their own: each regex then runs once per
+    row, however often its result is used.
+    """
+    staged = df.withColumn("_w", tr.words(F.col(text)))
+    staged = staged.withColumn("_h", tr.emotion_hits(F.col(text), F.col("_w")))
+    return staged.withColumn("_e", tr.emotion_reading(F.col("_h"))).select(*df.columns, "_e.*")
 
 
 def emotion_mix(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from voxframe.functions import tables
 from voxframe.functions import textrules as tr
 from voxframe.functions.scalar import rnd
 from voxframe.operators import text as ops
-from voxframe.plans.registry import query, rnd_sql as r, table, with_sql
+from voxframe.plans.registry import query, rnd_sql as r, spread, table, with_sql
 from voxframe.sources import files
 
 MESSAGE = (
@@ -34,7 +34,7 @@ MARKED_UP = (
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events")).select(
         F.col("user_id").alias("session_id"), "ts", "event_id", "event_type", "value", F.expr(MESSAGE).alias("text")
     )
 
@@ -42,8 +42,12 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 MESSAGES = {"msg": f"SELECT user_id AS session_id, ts, event_id, event_type, value, {MESSAGE} AS text FROM events"}
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "n_chars", "text"))
+
+
 def marked_up(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "lang", "source", F.expr(MARKED_UP).alias("text"))
+    return documents(spark, sf).select("doc_id", "source", F.expr(MARKED_UP).alias("text"))
 
 
 def quoted(text: str) -> str:
@@ -180,7 +184,7 @@ CUTS = "string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' ||
     "SELECT doc_id, CAST(generate_subscripts(ch, 1) - 1 AS INTEGER) AS chunk_idx, unnest(ch) AS chunk FROM c",
 )
 def sentence_chunks(spark, sf):
-    return ops.chunk_messages(table(spark, sf, "documents"), ["doc_id"])
+    return ops.chunk_messages(documents(spark, sf), ["doc_id"])
 
 
 @query(
@@ -190,7 +194,7 @@ def sentence_chunks(spark, sf):
 )
 def drained_chunks(spark, sf):
     """One drain of the buffer makes at most fifty cuts and returns the rest."""
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.select(
         "doc_id",
         F.size(tr.chunks(F.col("text"))).cast("bigint").alias("n_chunks"),
@@ -211,7 +215,7 @@ STROKES = {
 
 @query("strokes", with_sql(STROKES, "SELECT doc_id, CAST(stroke_idx AS INTEGER) AS stroke_idx, text, delimiter FROM st"))
 def strokes(spark, sf):
-    return ops.stroke_rows(table(spark, sf, "documents"), ["doc_id"])
+    return ops.stroke_rows(documents(spark, sf), ["doc_id"])
 
 
 @query(
@@ -225,7 +229,7 @@ def strokes(spark, sf):
     ),
 )
 def pause_budget(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     return docs.select("doc_id", tr.pause_budget_ms(tr.strokes(F.col("text"))).alias("pause_ms"))
 
 
@@ -304,7 +308,7 @@ def emotion_weights(spark, sf):
     ),
 )
 def placement_scores(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(tr.sentences(F.col("text"))).alias("s"))
+    rows = documents(spark, sf).select("doc_id", F.explode(tr.sentences(F.col("text"))).alias("s"))
     scored = rows.withColumn("p", tr.placement_scores(F.col("s")))
     return scored.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("sentences"), *[rnd(F.sum(f"p.{c}"), 4).alias(c) for c in ("prefix", "mid", "suffix")]
@@ -319,7 +323,7 @@ def augmented_sentences(spark, sf):
         "mid": [("you know", 0.5), ("hm", 0.5)],
         "suffix": [(", right", 0.7), (", eh", 0.3)],
     }
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     return ops.augment_sentences(docs, pools, 0.8, "doc_id", seed=7).select("doc_id", "augmented")
 
 
@@ -491,7 +495,7 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 )
 def stress_annotation(spark, sf):
     """A dictionary of every five-letter word below 'n', looked up by join."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     tokens = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"[{_LATIN}]+"), F.lit(0))).alias("t"))
     entries = tokens.select(F.lower("t").alias("bare")).filter((F.length("bare") == 5) & (F.col("bare") < "n")).distinct()
     accented = F.concat(F.substring("bare", 1, 2), F.lit(ops.ACUTE), F.substring("bare", 3, 5))
@@ -573,7 +577,7 @@ def _nudge(axis: int, name: str) -> str:
 )
 def painted_strokes(spark, sf):
     # the strokes are a column of their own, or their count would be redone per row
-    split = table(spark, sf, "documents").select("doc_id", tr.strokes(F.col("text")).alias("parts"))
+    split = documents(spark, sf).select("doc_id", tr.strokes(F.col("text")).alias("parts"))
     rows = split.select("doc_id", F.size("parts").alias("n_strokes"), F.posexplode("parts").alias("stroke_idx", "s")).select(
         "doc_id", "n_strokes", "stroke_idx", "s.delimiter",
         ((F.col("doc_id") % 10) / 9.0).alias("arousal"), ((F.col("doc_id") % 7) / 6.0).alias("dominance"), ((F.col("doc_id") % 4) / 3.0).alias("valence"),

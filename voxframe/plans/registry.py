@@ -34,6 +34,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a scan has fewer splits than there are cores.
+
+    A large table has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rnd_sql(expr: str, digits: int) -> str:
     """SQL rounding that never yields a negative zero."""
     return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
