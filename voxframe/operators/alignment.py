@@ -45,7 +45,9 @@ def warp(ref: DataFrame, syn: DataFrame, keys: Sequence[str], idx: str = "frame_
     def side(df: DataFrame) -> DataFrame:
         # new column identities, as both sides often come from one table
         named = [F.col(k).alias(k) for k in keys]
-        return df.filter(F.col(idx) < kernels.DTW_LIMIT).select(*named, F.col(idx).alias("_i"), F.col(value).alias("_x"))
+        cut = df.filter(F.col(idx) < kernels.DTW_LIMIT).select(*named, F.col(idx).alias("_i"), F.col(value).alias("_x"))
+        # a stated count keeps AQE from merging small but slow Python partitions
+        return cut.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
     return side(ref).groupBy(*keys).cogroup(side(syn).groupBy(*keys)).applyInPandas(align, out)
 

@@ -275,6 +275,8 @@ def blocked_fold(
     state = T.StructField("_exit", T.StringType())
     used = T.StructField("_entry", T.StringType())
     ordered = list(order)
+    # a stated count keeps AQE from merging small but slow Python partitions
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
     def run(entry: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
         return step(entry, rows.sort_values(ordered, kind="stable").reset_index(drop=True))
