@@ -50,8 +50,13 @@ def gap_table(metrics: DataFrame, targets: DataFrame, definitions: DataFrame) ->
 
 
 def gap_summary(gaps: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    """Mean of the rounded gaps, rounded again."""
-    return gaps.groupBy(*keys).agg(rnd(F.avg("gap_pct"), 1).alias("mean_gap_pct"))
+    """Mean of the rounded gaps, rounded again.
+
+    Rounded gaps are whole tenths, so they are summed as integers: a sum of doubles
+    depends on task order and can tip a half-way mean either way.
+    """
+    tenths = F.sum(F.round(F.col("gap_pct") * 10.0).cast("bigint")).cast("double")
+    return gaps.groupBy(*keys).agg(rnd(tenths / 10.0 / F.count(F.lit(1)), 1).alias("mean_gap_pct"))
 
 
 def phrase_summary(summary: DataFrame) -> DataFrame:
