@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.llm.common import run_of, stored
@@ -83,17 +83,33 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "similarity"])
 
 
-def candidate_pairs(buckets: DataFrame, full: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, large): all pairs within buckets of at most `full` members; the members of larger buckets."""
+def candidate_pairs(reps: DataFrame, near: int, part_rows: int = 1000) -> DataFrame:
+    """(a, b), a < b: texts of a common bucket that are worth a comparison.
+
+    Within a bucket texts are sorted by their next bands, so that those which share most stand
+    side by side, and each meets the `near` texts after it: all pairs of a bucket of up to
+    near + 1 texts. In a larger bucket each also meets the hub, the text whose buckets hold
+    the most texts; in a group of near copies that is the one closest to all. A bucket of n
+    texts so yields about n * (near + 1) pairs, never n * n. Buckets beyond part_rows are cut
+    by the hash of the next band, so that no task sorts an unbounded group.
+    """
+    n = F.size("bands")
+    buckets = reps.select("id", F.posexplode("bands").alias("i", "bucket"), F.col("bands")).select(
+        "id", "bucket", F.col("bands")[(F.col("i") + 1) % n].alias("next"), F.col("bands")[(F.col("i") + 2) % n].alias("then")
+    )
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = stored(buckets.join(sizes, "bucket"), "buckets")
-    few = met.where(F.col("members") <= full).groupBy("bucket").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    pairs = (
-        few.select("ids", F.posexplode("ids").alias("i", "a"))
-        .select("a", F.explode(F.slice("ids", F.col("i") + 2, full)).alias("b"))
-        .distinct()
-    )
-    return pairs, met.where(F.col("members") > full).select("bucket", "id")
+    part = F.pmod(F.xxhash64("next"), F.ceil(F.col("members") / part_rows)).alias("part")
+    order = Window.partitionBy("bucket", "part").orderBy("next", "then", "id")
+    ahead = F.array(*[F.lead("id", j).over(order) for j in range(1, near + 1)])
+    beside = met.select("id", "bucket", "next", "then", part).select("id", ahead.alias("ahead"))
+    beside = beside.select("id", F.explode(F.array_compact("ahead")).alias("other"))
+    # hubs: minimum aggregates over a text's buckets and then over a bucket's texts, both combined before the shuffle
+    central = met.groupBy("id").agg(F.sum("members").alias("central"))
+    large = met.where(F.col("members") > near + 1)
+    hubs = large.join(central, "id").groupBy("bucket").agg(F.max(F.struct("central", -F.col("id"))).alias("hub")).select("bucket", (-F.col("hub.col2")).alias("other"))
+    star = large.join(hubs, "bucket").select("id", "other")
+    return beside.unionByName(star).where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -110,17 +126,13 @@ def ngram_jaccard_links(
     recall: float = 0.999,
     doc_id: str = "doc_id",
     text: str = "text",
-    full: int = 8,
+    near: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: doc_id, copy_id; links: a, b, similarity between copy_ids.
 
     copy_id is the smallest id among the rows of equal lower-cased text, so copies are never
-    paired with each other. Texts whose MinHash bands meet are candidates. In a bucket of at
-    most `full` texts all pairs are verified. In a larger one (a large group of near copies)
-    its first text is verified against all others; those that are not similar to it take the
-    next turn, again against all members, until every text of the bucket has been linked to a
-    leader or has been one. So a group of n near copies costs about n verifications, and
-    texts that are similar end in one component.
+    paired with each other. Texts whose MinHash bands meet are candidates (candidate_pairs),
+    and each candidate pair is verified on the full sets of n-grams.
     """
     bands, rows = choose_bands(similarity, recall)
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
@@ -128,40 +140,18 @@ def ngram_jaccard_links(
     signed = stored(base.mapInArrow(_signatures(k, bands, rows), "id long, digest binary, bands array<long>"), "bands")
     first = signed.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "bands")).alias("least"))
     reps = stored(first.select("digest", F.col("least.id").alias("id"), F.col("least.bands").alias("bands")), "reps")
-    buckets = reps.where("id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
-    pairs, large = candidate_pairs(buckets, full)
-    pairs, large = stored(pairs, "pairs"), stored(large, "large")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select("id")).distinct()
+    known = reps.where("id IS NOT NULL")
+    pairs = stored(candidate_pairs(known, near), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = stored(
-        base.join(reps.where("id IS NOT NULL").select("id", "digest").join(wanted, "id"), ["id", "digest"])
-        .dropDuplicates(["id"])
-        .select("id", "text")
-        .mapInArrow(_sets(k), "id long, grams binary"),
+        base.join(known.select("id", "digest").join(wanted, "id"), ["id", "digest"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets(k), "id long, grams binary"),
         "sets",
     )
-    links = [stored(verified(pairs, sets, similarity), "links")]
-    open_ = large
-    while not open_.isEmpty():
-        leaders = open_.groupBy("bucket").agg(F.min("id").alias("leader"))
-        star = (
-            large.join(leaders, "bucket")
-            .where("id <> leader")
-            .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-            .distinct()
-        )
-        linked = stored(verified(star, sets, similarity), "links")
-        links.append(linked)
-        both = linked.select(F.col("a").alias("leader"), F.col("b").alias("id")).union(linked.select(F.col("b"), F.col("a")))
-        rest = open_.join(leaders, "bucket").where("id <> leader").join(both, ["leader", "id"], "left_anti").select("bucket", "id")
-        open_ = stored(rest, "open")
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
     # a large group of copies meets its smallest id through runs, so no task receives all of it
     placed = signed.select("id", "digest", run_of(256, "id").alias("run"))
     per_run = placed.select("run", "digest").distinct().join(reps.select("digest", F.col("id").alias("copy_id")), "digest")
     members = placed.join(per_run, ["run", "digest"])
-    return members.select(F.col("id").alias("doc_id"), "copy_id"), found.distinct()
+    return members.select(F.col("id").alias("doc_id"), "copy_id"), verified(pairs, sets, similarity)
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,7 +161,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, similarity: float = 0.8, rec
     of all its words. Two texts are linked when the Jaccard similarity of their sets of k-word
     n-grams is at least `similarity`. copy_id is the smallest id of equal texts, class_id the
     smallest id of all texts connected by links, n_links the number of links that the join
-    established for the text (in large groups of near copies, links to the group's leaders).
+    established for the text (in large groups of near copies: to its neighbours and the hub).
     Null and empty texts are copies of each other and have no links. Repeated rows are each
     returned; rows with a null id get the class of their copies, null if they have none but
     null ids. Further columns are ignored; no rows give no rows.
