@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm.common import run_of, stored
+from voxframe.llm.common import run_of, small_side, stored
 
 # fixed values of the format
 MAGIC = "WARC/1.0\r\n"
@@ -197,7 +197,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             jump = stored(jump.join(onward, ["file", "leave"]).select("file", "start", F.col("then").alias("leave")), "exits")
     entries = reached.join(narrow, ["file", "start"]).select(F.col("file").alias("in_file"), F.col("block").alias("in_block"), F.col("start").alias("entry"))
     chain = entries.groupBy("in_file", "in_block").cogroup(narrow.groupBy("file", "block")).applyInPandas(_walk, "file string, block long, start long")
-    records = stored(placed.join(chain, ["file", "block", "start"]).drop("block", "size"), "records")
+    # what stands before a file's first magic has no next record
+    records = stored(placed.where("next IS NOT NULL").join(chain, ["file", "block", "start"]).drop("block", "size"), "records")
     cut = records.where("NOT whole")
     if not cut.isEmpty():
         records = records.where("whole").unionByName(_joined(raw, base, cut))
@@ -222,13 +223,13 @@ def _joined(raw: DataFrame, base: DataFrame, cut: DataFrame) -> DataFrame:
     def together(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")
         _, kind, record_id, uri, refers, stated, length, digest, whole = _record(MAGIC.encode().join(rows["piece"]))
-        first = rows.iloc[0]
-        return pd.DataFrame([[first["file"], first["start"], first["next"], kind, record_id, uri, refers, stated, length, digest, whole]], columns=names)
+        top = rows.iloc[0]
+        return pd.DataFrame([[top["file"], top["start"], top["next"], kind, record_id, uri, refers, stated, length, digest, whole]], columns=names)
 
     schema = "file string, start long, next long, kind string, record_id string, uri string, refers string, stated string, length long, digest string, whole boolean"
     names = [x.split()[0] for x in schema.split(", ")]
     parts = raw.mapInArrow(pieces, "file string, block long, place long, piece binary").join(base, ["file", "block"]).withColumn("place", F.col("place") + F.col("base"))
-    inside = parts.join(cut.select("file", "start", "next"), "file").where("place >= start AND place < next").select("file", "start", "next", "place", "piece")
+    inside = parts.join(small_side(cut.select("file", "start", "next")), "file").where("place >= start AND place < next").select("file", "start", "next", "place", "piece")
     return inside.groupBy("file", "start").applyInPandas(together, schema)
 
 
