@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import byte_bpe, decontaminate, exact_dedup, html_text, near_join, token_counts, toxicity, warc
+from voxframe.llm import byte_bpe, decontaminate, exact_dedup, html_text, near_join, substring_dedup, token_counts, toxicity, warc
 from voxframe.llm.common import read_table
 from voxframe.session import shared_dir
 
@@ -104,3 +104,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.html_extraction(read_table(spark, sf_dir, "pages"))
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, s, hash(w[s:s + 19]) AS h, md5(array_to_string(w[s:s + 19], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h, m ORDER BY doc_id, s) AS k FROM g) WHERE k > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM late) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE coalesce(k.kept, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT d.doc_id, ps, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d JOIN gone USING (doc_id)) WHERE NOT list_contains(ps, i) GROUP BY doc_id) AS k USING (doc_id)
+"""
+)
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
