@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import byte_bpe, decontaminate, exact_dedup, html_text, near_join, substring_dedup, token_counts, toxicity, warc
+from voxframe.llm import byte_bpe, decontaminate, exact_dedup, html_text, near_join, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 from voxframe.llm.common import read_table
 from voxframe.session import shared_dir
 
@@ -121,3 +121,8 @@ LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT d.d
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read_table(spark, sf_dir, "documents"))
