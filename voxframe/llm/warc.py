@@ -36,14 +36,16 @@ def write_archives(
     html: str = "html",
     min_bytes: int = 0,
     date: str = "1970-01-01T00:00:00Z",
-    records_per_file: int = 0,
+    records_per_file: int = 100_000,
+    compression: str = "gzip",
 ) -> None:
     """One record per page. Of equal payloads of at least min_bytes the smallest page_id is the response.
 
     The others are revisits: they refer to it and hold no payload, only the HTTP head with its
     length. Null html is an empty payload. A null id is written as its payload's hash; it is
     never referred to while another id has the payload. Rows that repeat id and payload are
-    both responses. Line breaks in a url become spaces. The smallest ids are found on narrow
+    both responses. Line breaks in a url become spaces. Compressed files are read whole by
+    one task each, so records_per_file bounds them; plain ones ("none") are split. The smallest ids are found on narrow
     rows, pre-aggregated; pages meet them by run and digest, so copies of one payload are
     spread over the runs.
     """
@@ -80,7 +82,7 @@ def write_archives(
         F.lit(END),
         block,
     )
-    joined.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(folder)
+    joined.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(folder)
 
 
 def _fields(head: bytes) -> dict[str, str]:
