@@ -40,11 +40,14 @@ def samples_of(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray
         kept[back:] |= grams[back:] == least[: len(least) - back]
     word = np.flatnonzero(kept)
     text = np.searchsorted(w.first, word, "right") - 1
-    # words that repeat with a short period keep the n-gram at every turn: the first, the last and one in a while will do
+    # words that repeat with a short period keep the n-gram at every turn: the first two, the last two (a run
+    # also repeats itself) and one in a while will do
     linked = (grams[word][1:] == grams[word][:-1]) & (np.diff(word) <= gram) & (text[1:] == text[:-1])
     opens, closes = np.append(True, ~linked), np.append(~linked, True)
     turn = (word - word[opens][np.cumsum(opens) - 1]) // max(1, window - 2 * gram)
     stay = opens | closes | np.append(True, turn[1:] != turn[:-1])
+    stay[1:] |= opens[:-1]
+    stay[:-1] |= closes[1:]
     word, text = word[stay], text[stay]
     return text, word - w.first[:-1][text], grams[word]
 
