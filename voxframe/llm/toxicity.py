@@ -249,8 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     At most about fit_rows rows of each class are used (all of them where there are fewer),
     taken by hash, so the ids broadcast to find their texts and the features brought to the
     driver are bounded. Terms are words that stand in a share of the toxic texts and hardly
-    in others, by a likelihood-ratio test over near-distinct texts (one of those that share
-    their smallest word hash and length class counts). Without a toxic or a clean row the
+    in others, by a likelihood-ratio test over near-distinct texts (of those that share the
+    smallest hash of their five-word runs one counts). Without a toxic or a clean row the
     model calls everything clean (or toxic, if all labels are).
     """
     rows = (
@@ -268,11 +268,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = stored(
         docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "y"), "labelled"
     )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
     bags = texts.select("y", words.alias("words")).where(F.size("words") > 0)
-    # near copies mostly share the smallest hash of their words
-    sketch = F.array_min(F.transform("words", lambda w: F.xxhash64(w)))
-    once = bags.groupBy(sketch.alias("sketch"), "y").agg(F.min("words").alias("words"))
+    # near copies mostly share the smallest hash of their runs of five words
+    runs = F.transform(F.sequence(F.lit(0), F.size("words") - 5), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(5)]))
+    sketch = F.when(F.size("words") < 5, F.xxhash64("words")).otherwise(F.array_min(runs))
+    once = bags.select("y", F.array_distinct("words").alias("bag"), sketch.alias("sketch")).groupBy("sketch", "y").agg(F.min("bag").alias("words"))
     totals = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
