@@ -88,9 +88,31 @@ def test_contour_correlation(spark):
     assert run(short, flat) == 0.0
 
 
-def test_warp_limits_each_side(spark):
-    path = alignment.warp(contour(spark, range(1300)), contour(spark, range(1100)), ["pair_id"])
-    assert path.agg(F.max("ref_idx")).first()[0] == 999
+def test_warp_aligns_whole_series(spark):
+    path = alignment.warp(contour(spark, range(3000)), contour(spark, range(2500)), ["pair_id"])
+    assert tuple(path.agg(F.max("ref_idx"), F.max("syn_idx")).first()) == (2999, 2499)
+
+
+def test_warp_path_does_not_depend_on_the_stride():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 5, 130), rng.integers(0, 5, 90)
+    whole = kernels.warp_path(a, b, 10_000)
+    for stride in (1, 2, 7, 64, 219):
+        assert (kernels.warp_path(a, b, stride) == whole).all()
+    assert [tuple(p) for p in whole] == brute_path(list(a), list(b))
+
+
+def test_tempo_ratio_takes_whole_timelines(spark):
+    """A synthetic segment that is no first match (the second here) still counts for the ratio."""
+    ref, syn = contour(spark, [1.0, 1.0]), contour(spark, [1.0, 1.0, 5.0])
+    path = alignment.warp(ref, syn, ["pair_id"]).withColumnsRenamed({"ref_value": "ref_duration_s", "syn_value": "syn_duration_s"})
+    matches = compare.tempo_matches(path.withColumn("kind", F.lit("voiced")))
+    totals = spark.createDataFrame([(1, 2.0, 7.0)], "pair_id int, ref_total_s double, syn_total_s double")
+    got = compare.tempo_summary(matches, totals).first()
+    assert (got.overall_ratio, got.rushed, got.drawn_out) == (3.5, 0, 1)
+    odd = alignment.warp(contour(spark, [1.0, 4.0, 1.0]), contour(spark, [1.0, 2.0, 1.5]), ["pair_id"])
+    odd = odd.withColumnsRenamed({"ref_value": "ref_duration_s", "syn_value": "syn_duration_s"}).withColumn("kind", F.lit("voiced"))
+    assert [(r.ref_idx, r.tempo) for r in compare.tempo_outliers(compare.tempo_matches(odd)).orderBy("ref_idx").collect()] == [(1, "rushed"), (2, "drawn out")]
 
 
 def test_region_centres(spark):

@@ -141,3 +141,27 @@ def test_blocked_fold_is_sequential(frames, series):
         for _, i, x in rows:
             total = (total + int(x * 100)) % 97
             assert got[(k, i)] == total
+
+
+@pytest.mark.parametrize("alpha", [0.05, 0.3, 0.6, 0.9, 1.0])
+def test_ema_for_every_alpha(spark, alpha):
+    values = [float((i * 7919) % 101) for i in range(5000)]
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, idx bigint, v double")
+    got = [r.ema for r in ordered.ema(df, ["k"], "idx", "v", alpha).orderBy("idx").collect()]
+    want, last = [], values[0]
+    for v in values:
+        last = alpha * v + (1 - alpha) * last
+        want.append(last)
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_null_keys_and_null_order_values_stay(spark):
+    rows = [("a", 1, 1.0), ("a", None, 2.0), (None, 1, 3.0), (None, None, 4.0), ("a", 2, 5.0)]
+    df = spark.createDataFrame(rows, "k string, ts bigint, v double")
+    blocked = ordered.with_block(df, "ts", 2)
+    placed = ordered.with_position(blocked, ["k"], ["ts"], "block")
+    assert sorted((r.k or "", r.v, r.frame_idx) for r in placed.collect()) == [("", 3.0, 1), ("", 4.0, 0), ("a", 1.0, 1), ("a", 2.0, 0), ("a", 5.0, 2)]
+    filled = ordered.fill_forward(blocked, ["k"], ["ts"], "block", {"last": F.col("v")})
+    assert filled.count() == 5
+    assert ordered.order_statistics(df, ["k"], "v", {"low": lambda n: F.lit(0)}).count() == 2
+    assert ordered.ema(placed, ["k"], "frame_idx", "v", 0.5).count() == 5

@@ -23,7 +23,8 @@ def test_chunks(one):
     assert one(tr.chunks, "Hello there") == []
     assert one(tr.remainder, "Hello there") == "Hello there"
     assert one(tr.chunks, "One line\n\n\nok. A. Next") == ["One line", "ok."]
-    assert len(one(tr.chunks, "abc. " * 70)) == 50
+    assert len(one(tr.chunks, "abc. " * 70)) == 70
+    assert len(one(lambda t: tr.chunks(t, 50), "abc. " * 70)) == 50
 
 
 @pytest.mark.parametrize(
@@ -54,7 +55,14 @@ def test_numbers(one, spark):
     said = {0: "ноль", 2001: "две тысячи один", 21000019: "двадцать один миллион девятнадцать", -5: "минус пять"}
     for n, words in said.items():
         assert spark.range(1).select(tr.number_words(F.lit(n).cast("bigint")).alias("x")).first().x == words
-    assert spark.range(1).select(tr.number_words(F.lit(1_000_000_000).cast("bigint")).alias("x")).first().x is None
+    big = {
+        1_000_000_000: "один миллиард",
+        -2_005_000_000_011: "минус два триллиона пять миллиардов одиннадцать",
+        -(2**63): "минус девять квинтиллионов двести двадцать три квадриллиона триста семьдесят два триллиона тридцать шесть миллиардов "
+        "восемьсот пятьдесят четыре миллиона семьсот семьдесят пять тысяч восемьсот восемь",
+    }
+    for n, words in big.items():
+        assert spark.range(1).select(tr.number_words(F.lit(n).cast("bigint")).alias("x")).first().x == words
     assert one(tr.normalise_numbers, "v2 и 3.14, 50% и -7") == "v2 и 3.14, пятьдесят процентов и минус семь"
     assert one(tr.normalise_numbers, "конец 5.") == "конец 5."
     assert one(tr.normalise_numbers, "3D mp4 a-5") == "3D mp4 a-5"

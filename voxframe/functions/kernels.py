@@ -8,31 +8,50 @@ import numpy as np
 FRAME_S, HOP_S = 0.025, 0.010
 PITCH_MIN_HZ, PITCH_MAX_HZ = 80, 500
 SILENCE = 0.01
-DTW_LIMIT = 1000
 
 
-def warp_path(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cheapest monotone alignment of two series, as (i, j) rows.
+def warp_path(a: np.ndarray, b: np.ndarray, stride: int | None = None) -> np.ndarray:
+    """Cheapest monotone alignment of two whole series, as (i, j) rows.
 
-    Costs fill along anti-diagonals, each one vector operation.  Walking back, a
+    Costs fill along anti-diagonals, each one vector operation. Only every `stride`-th pair of
+    diagonals is kept; walking back, the steps of one stride at a time are computed again from
+    the pair before it, so memory grows with the shorter side times the root of the longer. A
     diagonal step wins ties, then a step in ``a``.
     """
-    a, b = np.asarray(a[:DTW_LIMIT], float), np.asarray(b[:DTW_LIMIT], float)
+    a, b = np.asarray(a, float), np.asarray(b, float)
     n, m = len(a), len(b)
     if n == 0 or m == 0:
         return np.empty((0, 2), dtype=int)
-    total = np.full((n + 1, m + 1), np.inf)
-    total[0, 0] = 0.0
-    for s in range(2, n + m + 1):
+    stride = stride or max(64, int(4 * np.sqrt(n + m)))
+
+    def advance(s: int, last: np.ndarray, older: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Diagonal i + j = s, by i, from the two before it, and the step that leads to each cell."""
+        here, step = np.full(n + 1, np.inf), np.zeros(n + 1, np.int8)
         i = np.arange(max(1, s - m), min(n, s - 1) + 1)
-        j = s - i
-        cheapest = np.minimum(np.minimum(total[i - 1, j], total[i, j - 1]), total[i - 1, j - 1])
-        total[i, j] = cheapest + np.abs(a[i - 1] - b[j - 1])
+        both, up, left = older[i - 1], last[i - 1], last[i]
+        step[i] = np.where((both <= up) & (both <= left), 0, np.where(up <= left, 1, 2))
+        here[i] = np.minimum(np.minimum(both, up), left) + np.abs(a[i - 1] - b[s - i - 1])
+        return here, step
+
+    older, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    older[0] = 0.0  # before the first cell
+    kept = []
+    for s in range(2, n + m + 1):
+        if (s - 2) % stride == 0:
+            kept.append((older, last))
+        older, last = last, advance(s, last, older)[0]
     i, j, path = n, m, [(n - 1, m - 1)]
-    while i > 1 or j > 1:
-        step = min(((total[i - 1, j - 1], 0), (total[i - 1, j], 1), (total[i, j - 1], 2)))
-        i, j = ((i - 1, j - 1), (i - 1, j), (i, j - 1))[step[1]]
-        path.append((i - 1, j - 1))
+    for block in range(len(kept) - 1, -1, -1):
+        older, last = kept[block]
+        first = 2 + block * stride
+        steps = []
+        for s in range(first, min(first + stride, i + j + 1)):
+            here, step = advance(s, last, older)
+            older, last = last, here
+            steps.append(step)
+        while i + j >= first and (i > 1 or j > 1):
+            i, j = ((i - 1, j - 1), (i - 1, j), (i, j - 1))[steps[i + j - first][i]]
+            path.append((i - 1, j - 1))
     return np.array(path[::-1])
 
 

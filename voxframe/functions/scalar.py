@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,3 +54,8 @@ def goertzel(samples: Column, freq_hz: float, sample_rate: int) -> Column:
         lambda s, x: F.struct((coeff * s["a"] - s["b"] + x.cast("double")).alias("a"), s["a"].alias("b")),
         lambda s: F.sqrt(F.greatest(s["a"] * s["a"] + s["b"] * s["b"] - coeff * s["a"] * s["b"], F.lit(0.0))),
     )
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

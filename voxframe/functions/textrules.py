@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voxframe.functions.scalar import let
+
 # Markdown rewrites up to the table rows, in order.
 MARKDOWN_BEFORE_ROWS = [
     (r"(?s)\n?```.*?```\n?", "\n"),
@@ -63,10 +65,13 @@ ONES_MASCULINE = ["", "один", "два", "три", "четыре", "пять"
 ONES_FEMININE = ["", "одна", "две", "три", "четыре", "пять", "шесть", "семь", "восемь", "девять"]
 THOUSAND_FORMS = ("тысяча", "тысячи", "тысяч")
 MILLION_FORMS = ("миллион", "миллиона", "миллионов")
+MILLIARD_FORMS = ("миллиард", "миллиарда", "миллиардов")
+TRILLION_FORMS = ("триллион", "триллиона", "триллионов")
+QUADRILLION_FORMS = ("квадриллион", "квадриллиона", "квадриллионов")
+QUINTILLION_FORMS = ("квинтиллион", "квинтиллиона", "квинтиллионов")
 ZERO_WORD = "ноль"
 MINUS_WORD = "минус"
 PERCENT_WORD = "процентов"
-MAX_NUMBER = 999_999_999
 
 # Emotion signals as (class, weight, name, pattern), in rule order.
 # A pattern of None marks the rules that need more than one match (see below).
@@ -255,20 +260,17 @@ def _plural(n: Column, forms: tuple[str, str, str]) -> Column:
 
 
 def number_words(n: Column) -> Column:
-    """Cardinal words of an integer; null beyond the supported range."""
-    size = F.abs(n)
-    # out-of-range values are nulled at the end; the digit lookups stay in bounds
-    m = F.floor(size / 1_000_000) % 1000
-    t = F.floor(size / 1000) % 1000
-    u = size % 1000
-    parts = F.array(
-        F.when(n < 0, MINUS_WORD),
-        F.when(size == 0, ZERO_WORD),
-        F.when(m > 0, F.concat_ws(" ", _below_thousand(m, False), _plural(m, MILLION_FORMS))),
-        F.when(t > 0, F.concat_ws(" ", _below_thousand(t, True), _plural(t, THOUSAND_FORMS))),
-        F.when(u > 0, _below_thousand(u, False)),
-    )
-    return F.when(size <= MAX_NUMBER, F.array_join(parts, " "))
+    """Cardinal words of any 64-bit integer."""
+    # groups of three digits, cut from the digits as text: the smallest integer has no positive counterpart
+    digits = F.lpad(F.translate(n.cast("string"), "-", ""), 21, "0")
+    group = lambda i: F.substring(digits, 3 * i + 1, 3).cast("int")
+    forms = (QUINTILLION_FORMS, QUADRILLION_FORMS, TRILLION_FORMS, MILLIARD_FORMS, MILLION_FORMS, THOUSAND_FORMS)
+    parts = [F.when(n < 0, MINUS_WORD), F.when(n == 0, ZERO_WORD)]
+    for i, names in enumerate(forms):
+        said = F.concat_ws(" ", _below_thousand(group(i), names is THOUSAND_FORMS), _plural(group(i), names))
+        parts.append(F.when(group(i) > 0, said))
+    parts.append(F.when(group(6) > 0, _below_thousand(group(6), False)))
+    return F.when(n.isNotNull(), F.array_join(F.array(*parts), " "))
 
 
 # a standalone integer: not glued to a letter or dot before, nor to a letter, dot
@@ -281,7 +283,7 @@ def normalise_numbers(text: Column) -> Column:
 
     def spoken(token: Column) -> Column:
         digits = F.regexp_replace(token, "%", "")
-        said = number_words(F.try_to_number(digits, F.lit("S9999999999")).cast("bigint"))
+        said = number_words(digits.try_cast("bigint"))
         percent = F.when(token.endswith("%"), F.lit(" " + PERCENT_WORD)).otherwise("")
         return F.when(said.isNull(), token).otherwise(F.concat(said, percent))
 
@@ -346,19 +348,19 @@ def apply_glossary(text: Column, glossary: Sequence[tuple[str, str]] = GLOSSARY)
 CUT = r"(?U)\n\n+|(?<=[.!?])\s+"
 
 
-def pieces(text: Column, max_cuts: int | None = 50) -> Column:
+def pieces(text: Column, max_cuts: int | None = None) -> Column:
     """Text cut at blank lines and sentence ends; the last piece is the remainder."""
     return F.split(text, CUT, -1 if max_cuts is None else max_cuts + 1)
 
 
-def chunks(text: Column, max_cuts: int | None = 50) -> Column:
+def chunks(text: Column, max_cuts: int | None = None) -> Column:
     """Complete chunks longer than two bytes."""
     cut = pieces(text, max_cuts)
     done = F.transform(F.slice(cut, 1, F.size(cut) - 1), strip)
     return F.filter(done, lambda c: F.octet_length(c) > 2)
 
 
-def remainder(text: Column, max_cuts: int | None = 50) -> Column:
+def remainder(text: Column, max_cuts: int | None = None) -> Column:
     return F.element_at(pieces(text, max_cuts), -1)
 
 
@@ -469,14 +471,14 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
 
     Each distinct word of the pair becomes one supplementary-plane character, so
     the built-in ``levenshtein`` counts word edits (up to a million words a pair).
+    The pair's vocabulary is built once.
     """
-    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
 
-    def spelled(tokens: Column) -> Column:
+    def spelled(tokens: Column, vocabulary: Column) -> Column:
         codes = F.transform(tokens, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0x10000), 8, "0"))
         return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
-    return F.levenshtein(spelled(reference), spelled(hypothesis))
+    return let(F.array_distinct(F.concat(reference, hypothesis)), lambda v: F.levenshtein(spelled(reference, v), spelled(hypothesis, v)))
 
 
 def log_event(line: Column) -> Column:
@@ -516,7 +518,7 @@ def log_event(line: Column) -> Column:
     columns = [F.when(text != "", event).alias("event")]
     zero_default = {"dataset_ready": ("wav_files", "transcripts")}
     for name in LOG_INT_FIELDS:
-        value = F.try_to_number(field(name), F.lit("9999999999")).cast("bigint")
+        value = field(name).try_cast("bigint")
         if name in zero_default["dataset_ready"]:
             value = F.when(event == "dataset_ready", F.coalesce(value, F.lit(0).cast("bigint")))
         columns.append(value.alias(name))

@@ -1,4 +1,4 @@
-"""Time-warp alignment of bounded contours, one pair per task."""
+"""Time-warp alignment of whole contours, pair by pair."""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ from voxframe.functions.scalar import clamp
 def warp(ref: DataFrame, syn: DataFrame, keys: Sequence[str], idx: str = "frame_idx", value: str = "value") -> DataFrame:
     """Alignment path of every pair, with the paired values.
 
-    Both sides are cut to the alignment's own limit of frames before the shuffle,
-    so a task sees at most that many rows a side.
+    Whole series are aligned. A pair's alignment is one sequential dynamic program, so a pair
+    is one task; its memory grows with the root of the longer side (see ``kernels.warp_path``).
     """
     out = T.StructType(
         [
@@ -45,7 +45,7 @@ def warp(ref: DataFrame, syn: DataFrame, keys: Sequence[str], idx: str = "frame_
     def side(df: DataFrame) -> DataFrame:
         # new column identities, as both sides often come from one table
         named = [F.col(k).alias(k) for k in keys]
-        cut = df.filter(F.col(idx) < kernels.DTW_LIMIT).select(*named, F.col(idx).alias("_i"), F.col(value).alias("_x"))
+        cut = df.select(*named, F.col(idx).alias("_i"), F.col(value).alias("_x"))
         # a stated count keeps AQE from merging small but slow Python partitions
         return cut.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 

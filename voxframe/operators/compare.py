@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions import tables, verdicts
-from voxframe.functions.scalar import clamp, rnd
+from voxframe.functions.scalar import clamp, let, rnd
 
 
 def literal_rows(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -203,7 +203,8 @@ def mean_vector(df: DataFrame, keys: Sequence[str], vector: str, unit: bool = Fa
     source = F.col(vector)
     if unit:
         norm = F.sqrt(_sum_over(source, source, lambda x, y: x.cast("double") * y.cast("double")))
-        source = F.transform(source, lambda x: F.when(norm > 1e-8, x.cast("double") / norm).otherwise(x.cast("double")))
+        vectors = source
+        source = let(norm, lambda n: F.transform(vectors, lambda x: F.when(n > 1e-8, x.cast("double") / n).otherwise(x.cast("double"))))
     cells = df.select(*keys, F.posexplode(source).alias("dim", "x"))
     means = cells.groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
     gathered = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("_v"))
@@ -211,7 +212,7 @@ def mean_vector(df: DataFrame, keys: Sequence[str], vector: str, unit: bool = Fa
     if unit:
         norm = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x))
         out = out.withColumn(
-            "centroid", F.when(norm > 1e-8, F.transform("centroid", lambda x: x / norm)).otherwise(F.col("centroid"))
+            "centroid", let(norm, lambda n: F.when(n > 1e-8, F.transform("centroid", lambda x: x / n)).otherwise(F.col("centroid")))
         )
     return out
 
@@ -228,14 +229,25 @@ def tempo_matches(path: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFr
     return first.select(*keys, "ref_idx", "m.*", ratio.alias("ratio"))
 
 
-def tempo_summary(matches: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
-    """Overall ratio and how many voiced segments are rushed or drawn out."""
+def tempo_outliers(matches: DataFrame) -> DataFrame:
+    """Voiced segments whose match is rushed (ratio under 0.7) or drawn out (over 1.4)."""
+    label = F.when(F.col("ratio") < 0.7, "rushed").when(F.col("ratio") > 1.4, "drawn out")
+    return matches.where(F.col("kind") == "voiced").withColumn("tempo", label).where(F.col("tempo").isNotNull())
+
+
+def tempo_summary(matches: DataFrame, totals: DataFrame, keys: Sequence[str] = ("pair_id",)) -> DataFrame:
+    """Overall ratio of the two timelines and how many voiced segments are rushed or drawn out.
+
+    ``totals(keys, ref_total_s, syn_total_s)`` are the durations of the whole timelines; the
+    ratio is 1 where the reference has none.
+    """
     voiced = F.col("kind") == "voiced"
-    return matches.groupBy(*keys).agg(
-        F.coalesce(F.try_divide(F.sum("syn_duration_s"), F.sum("ref_duration_s")), F.lit(1.0)).alias("overall_ratio"),
+    counts = matches.groupBy(*keys).agg(
         F.count_if(voiced & (F.col("ratio") < 0.7)).alias("rushed"),
         F.count_if(voiced & (F.col("ratio") > 1.4)).alias("drawn_out"),
     )
+    ratio = F.when(F.col("ref_total_s") > 0, F.col("syn_total_s") / F.col("ref_total_s")).otherwise(1.0)
+    return counts.join(totals, list(keys)).select(*keys, ratio.alias("overall_ratio"), "rushed", "drawn_out")
 
 
 def weighted_objective(gaps: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:

@@ -17,6 +17,7 @@ the ordering column.  Each operator
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -37,11 +38,21 @@ def _as_number(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
+def _attach(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with the summary of its keys, null keys meeting null keys."""
+    named = summary.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in summary.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(named, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def block_of(df: DataFrame, column: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
     """Equal-width block number of an ordering column.
 
     The width comes from one scalar subquery (min, max, count): even if a single
-    series held every row, a block would hold ``rows_per_block`` on average.
+    series held every row, a block would hold ``rows_per_block`` on average. A null
+    ordering value comes first, in a block of its own (-1).
     """
     x = _as_number(df, column).cast("double")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / rows_per_block), F.lit(1))
@@ -53,7 +64,7 @@ def block_of(df: DataFrame, column: str, rows_per_block: int = ROWS_PER_BLOCK) -
         ).alias("s")
     ).scalar()
     raw = F.floor((x - stats.getField("lo")) / stats.getField("width"))
-    return F.least(raw, stats.getField("n").cast("bigint") - 1)
+    return F.when(x.isNull(), F.lit(-1).cast("bigint")).otherwise(F.least(raw, stats.getField("n").cast("bigint") - 1))
 
 
 def with_block(df: DataFrame, order: str, rows_per_block: int = ROWS_PER_BLOCK, name: str = "block") -> DataFrame:
@@ -82,7 +93,7 @@ def prefix(
     totals = df.groupBy(*keys, block).agg(*[merge(v).alias(f"_t_{n}") for n, v in values.items()])
     carry = totals.select(*keys, block, *[merge(f"_t_{n}").over(before).alias(f"_c_{n}") for n in values])
     kept = [c for c in df.columns if c not in values]
-    return local.join(carry, [*keys, block]).select(
+    return _attach(local, carry, [*keys, block]).select(
         *kept, *[combine(F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n in values]
     )
 
@@ -181,7 +192,7 @@ def fill_forward(
         *keys, block, *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in columns]
     )
     kept = [c for c in df.columns if c not in columns]
-    return local.join(carry, [*keys, block]).select(
+    return _attach(local, carry, [*keys, block]).select(
         *kept, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in columns]
     )
 
@@ -203,7 +214,7 @@ def order_statistics(
     blocked = with_block(counted, value, rows_per_block, "_vblock")
     upto = prefix(blocked, keys, [value], "_vblock", {"_upto": F.col("_n")})
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("n_rows"))
-    hit = upto.join(sizes, list(keys)) if keys else upto.withColumn("n_rows", sizes.scalar())
+    hit = _attach(upto, sizes, keys) if keys else upto.withColumn("n_rows", sizes.scalar())
     picks = []
     for name, rank in ranks.items():
         at = rank(F.col("n_rows"))
@@ -215,15 +226,18 @@ def order_statistics(
 def ema(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: float, name: str = "ema") -> DataFrame:
     """Exponential moving average seeded by the first value, as window sums.
 
-    Inside a stretch of 1024 rows the recursion is a weighted running sum.  What
-    enters a stretch is the average at the end of the previous one; anything more
-    than two stretches back carries a weight of (1-alpha)^2048, which is zero in
-    double precision for alpha >= 0.3, so two look-backs make the value exact.
+    Inside a stretch of rows the recursion is a weighted running sum.  What enters a
+    stretch is the average at the end of the previous one.  The stretch is as long as
+    (1-alpha)^stretch stays near 1e-150: weights within it neither overflow nor vanish,
+    and what lies more than two stretches back has a weight of 1e-300 or less, so two
+    look-backs make the value exact for every alpha.
     """
-    if alpha < 0.3:
-        raise ValueError("the two-stretch look-back needs alpha >= 0.3")
-    stretch = 1024
+    if not 0.0 < alpha <= 1.0:
+        raise ValueError("alpha lies above 0 and at most at 1")
+    if alpha == 1.0:
+        return df.withColumn(name, F.col(value).cast("double"))
     keep = 1.0 - alpha
+    stretch = max(1, int(345.0 / -math.log(keep)))
     rows = df.withColumn("_s", F.floor(F.col(idx) / stretch)).withColumn("_p", F.col(idx) % stretch)
     inside = Window.partitionBy(*keys, "_s").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
     weight = F.when(F.col(idx) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
@@ -243,7 +257,7 @@ def ema(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: float,
         0,
         {"_in": lambda w: F.lag("_end", 1).over(w) + full * F.coalesce(F.lag("_end", 2).over(w), F.lit(0.0))},
     ).select(*keys, "_s", "_in")
-    return local.join(carried, [*keys, "_s"]).select(
+    return _attach(local, carried, [*keys, "_s"]).select(
         *df.columns,
         (F.col("_e") + F.coalesce(F.col("_in") * F.pow(F.lit(keep), F.col("_p") + 1), F.lit(0.0))).alias(name),
     )

@@ -69,7 +69,7 @@ def _list_sql(words) -> str:
 
 
 def number_words_sql(n: str) -> str:
-    """Cardinal words of a BIGINT expression in the range of the operator."""
+    """Cardinal words of a BIGINT expression."""
 
     def below(x: str, ones) -> str:
         return (
@@ -81,13 +81,16 @@ def number_words_sql(n: str) -> str:
     def plural(x: str, forms) -> str:
         return f"CASE WHEN {x} % 100 BETWEEN 11 AND 19 THEN '{forms[2]}' WHEN {x} % 10 = 1 THEN '{forms[0]}' WHEN {x} % 10 BETWEEN 2 AND 4 THEN '{forms[1]}' ELSE '{forms[2]}' END"
 
-    a = f"abs({n})"
-    m, t, u = f"({a} // 1000000)", f"({a} // 1000 % 1000)", f"({a} % 1000)"
+    forms = {18: tr.QUINTILLION_FORMS, 15: tr.QUADRILLION_FORMS, 12: tr.TRILLION_FORMS, 9: tr.MILLIARD_FORMS, 6: tr.MILLION_FORMS, 3: tr.THOUSAND_FORMS}
+    group = lambda p: f"CAST(abs(CAST({n} AS HUGEINT)) // {10**p} % 1000 AS BIGINT)"
+    scaled = [
+        f"CASE WHEN {group(p)} > 0 THEN {below(group(p), tr.ONES_FEMININE if p == 3 else tr.ONES_MASCULINE)} || ' ' || {plural(group(p), f)} END"
+        for p, f in forms.items()
+    ]
     return (
         f"array_to_string(list_filter([CASE WHEN {n} < 0 THEN '{tr.MINUS_WORD}' END, CASE WHEN {n} = 0 THEN '{tr.ZERO_WORD}' END, "
-        f"CASE WHEN {m} > 0 THEN {below(m, tr.ONES_MASCULINE)} || ' ' || {plural(m, tr.MILLION_FORMS)} END, "
-        f"CASE WHEN {t} > 0 THEN {below(t, tr.ONES_FEMININE)} || ' ' || {plural(t, tr.THOUSAND_FORMS)} END, "
-        f"CASE WHEN {u} > 0 THEN {below(u, tr.ONES_MASCULINE)} END], lambda w: w IS NOT NULL), ' ')"
+        + ", ".join(scaled)
+        + f", CASE WHEN {group(0)} > 0 THEN {below(group(0), tr.ONES_MASCULINE)} END], lambda w: w IS NOT NULL), ' ')"
     )
 
 
@@ -103,7 +106,7 @@ def spoken_sql(source: str) -> dict[str, str]:
         "pos": "SELECT doc_id, tok, unnest(range(1, len(tok) + 1)) AS i FROM toks",
         "one": f"SELECT doc_id, i, {cur} AS t, {is_num} AND {free} AS conv, left({nxt}, 1) = '%' AS pct FROM pos",
         "two": "SELECT *, lag(conv AND pct, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS eaten FROM one",
-        "nums": f"SELECT t, {number_words_sql('n')} AS w FROM (SELECT DISTINCT t, CAST(t AS BIGINT) AS n FROM two WHERE conv AND abs(CAST(t AS HUGEINT)) <= 999999999)",
+        "nums": f"SELECT t, {number_words_sql('n')} AS w FROM (SELECT DISTINCT t, TRY_CAST(t AS BIGINT) AS n FROM two WHERE conv AND TRY_CAST(t AS BIGINT) IS NOT NULL)",
         "said": f"SELECT doc_id, i, CASE WHEN w IS NOT NULL THEN w || CASE WHEN pct THEN ' {tr.PERCENT_WORD}' ELSE '' END WHEN eaten THEN substr(two.t, 2) ELSE two.t END AS p "
         "FROM two LEFT JOIN nums ON conv AND two.t = nums.t",
         "spoken": "SELECT doc_id, string_agg(p, '' ORDER BY i) AS s FROM said GROUP BY doc_id",
@@ -189,11 +192,11 @@ def sentence_chunks(spark, sf):
 
 @query(
     "drained_chunks",
-    f"WITH c AS (SELECT doc_id, {CUTS} AS p FROM documents WHERE true), d AS (SELECT doc_id, p, least(len(p) - 1, 50) AS k FROM c) "
+    f"WITH c AS (SELECT doc_id, {CUTS} AS p FROM documents WHERE true), d AS (SELECT doc_id, p, len(p) - 1 AS k FROM c) "
     f"SELECT doc_id, len(list_filter([{strip_sql('x')} for x in p[1:k]], lambda x: strlen(x) > 2)) AS n_chunks, k AS cuts FROM d",
 )
 def drained_chunks(spark, sf):
-    """One drain of the buffer makes at most fifty cuts and returns the rest."""
+    """Complete chunks of a whole text, and the cuts that make them; the rest stays in the buffer."""
     docs = documents(spark, sf)
     return docs.select(
         "doc_id",

@@ -479,9 +479,8 @@ def contour_correlation(spark, sf):
     return out.select("pair_id", "n", rnd(F.col("correlation"), 6).alias("correlation"))
 
 
-@query("tempo_summary")
-def tempo_summary(spark, sf):
-    """Segment durations of a reference series warped onto its partner's."""
+def _tempo(spark, sf):
+    """(matches, totals): segment durations of a reference series warped onto its partner's."""
     seg = with_position(segments(spark, sf), ["series_id"], ["start_idx"], "block", "seg_no").withColumn("pair_id", F.floor(F.col("series_id") / 2))
     side = lambda s: seg.filter(F.col("series_id") % 2 == s)
     path = alignment.warp(side(0), side(1), ["pair_id"], idx="seg_no", value="duration_s")
@@ -489,10 +488,24 @@ def tempo_summary(spark, sf):
     named = path.join(kinds, ["pair_id", "ref_idx"]).select(
         "pair_id", "path_pos", "ref_idx", "kind", F.col("ref_value").alias("ref_duration_s"), F.col("syn_value").alias("syn_duration_s")
     )
-    out = compare.tempo_summary(compare.tempo_matches(named))
+    total = lambda s: F.sum(F.when(F.col("series_id") % 2 == s, F.col("duration_s")))
+    totals = seg.groupBy("pair_id").agg(total(0).alias("ref_total_s"), total(1).alias("syn_total_s"))
+    return compare.tempo_matches(named), totals
+
+
+@query("tempo_summary")
+def tempo_summary(spark, sf):
+    out = compare.tempo_summary(*_tempo(spark, sf))
     return out.withColumn("overall_ratio", rnd(F.col("overall_ratio"), 6))
 
 
+@query("tempo_outliers")
+def tempo_outliers(spark, sf):
+    """The rushed and drawn-out segments themselves."""
+    out = compare.tempo_outliers(_tempo(spark, sf)[0])
+    return out.select("pair_id", "ref_idx", "tempo", *[rnd(F.col(c), 6).alias(c) for c in ("ref_duration_s", "syn_duration_s", "ratio")])
+
+
 @query("distinct_regions")
 def distinct_regions(spark, sf):
     """Greedy region centres per brand over four normalised features."""
