@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import tables, verdicts
 from voxframe.functions.scalar import clamp, let, rnd
+from voxframe.session import small_or_plain
 
 
 def literal_rows(df: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -29,7 +30,7 @@ def gap_table(metrics: DataFrame, targets: DataFrame, definitions: DataFrame) ->
 
     Definitions and targets hold one row per metric.
     """
-    dim = F.broadcast(
+    dim = small_or_plain(
         definitions.join(targets, "metric", "left").select(
             "metric", "scale", F.coalesce("target", F.lit(0.0)).alias("target")
         )
@@ -262,7 +263,7 @@ def weighted_objective(gaps: DataFrame, keys: Sequence[str] = ("series_id",)) ->
 def composite_score(metrics: DataFrame, criteria: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Sum of weighted bell curves; ``criteria(metric, ideal, sigma, weight)``."""
     part = F.col("weight") * verdicts.gauss_score(F.col("value"), F.col("ideal"), F.col("sigma"))
-    return metrics.join(F.broadcast(criteria), "metric").groupBy(*keys).agg(F.sum(part).alias("score"))
+    return metrics.join(small_or_plain(criteria), "metric").groupBy(*keys).agg(F.sum(part).alias("score"))
 
 
 def regression_gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -278,7 +279,7 @@ def regression_gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
 def sensitivity_matrix(trials: DataFrame, baseline: DataFrame, steps: dict[str, float], metrics: Sequence[str]) -> DataFrame:
     """(value - baseline) / |step| per knob, metrics as columns."""
     step = F.create_map(*[F.lit(x) for kv in steps.items() for x in kv])
-    dim = F.broadcast(baseline.select("metric", F.col("value").alias("_base")))
+    dim = small_or_plain(baseline.select("metric", F.col("value").alias("_base")))
     change = (F.col("value") - F.col("_base")) / F.abs(F.try_element_at(step, F.col("knob")))
     return (
         trials.join(dim, "metric")

@@ -227,6 +227,26 @@ def band_balance(mags: Column, bin_hz: float, split_hz: float = 1000.0) -> Colum
     return F.when(high > 1e-20, 10.0 * F.log10(low / high)).otherwise(0.0)
 
 
+def array_tilt(mags: Column, bin_hz: float) -> Column:
+    """``spectral_tilt`` of a whole magnitude array in one pass over it, without a shuffle."""
+    lo, hi = max(int(100.0 / bin_hz), 1), int(8000.0 / bin_hz)
+    points = F.transform(mags, lambda m, i: F.struct((m * m).alias("p"), F.log2(i * bin_hz).alias("x"), i.alias("i")))
+    used = F.filter(points, lambda q: (q["i"] >= lo) & (q["i"] < hi) & (q["p"] > 1e-20))
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "x", "y", "xx", "xy")])
+
+    def add(s: Column, q: Column) -> Column:
+        y = 10.0 * F.log10(q["p"])
+        return F.struct(
+            (s["n"] + 1).alias("n"), (s["x"] + q["x"]).alias("x"), (s["y"] + y).alias("y"), (s["xx"] + q["x"] * q["x"]).alias("xx"), (s["xy"] + q["x"] * y).alias("xy")
+        )
+
+    def slope(s: Column) -> Column:
+        spread = s["n"] * s["xx"] - s["x"] * s["x"]
+        return F.when((s["n"] > 1) & (spread > 1e-12), (s["n"] * s["xy"] - s["x"] * s["y"]) / spread).otherwise(0.0)
+
+    return F.aggregate(used, start, add, slope)
+
+
 def spectral_tilt(
     bins: DataFrame, keys: Sequence[str], bin_hz: float, bin_col: str = "bin", mag_col: str = "mag"
 ) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import tables
 from voxframe.functions import textrules as tr
-from voxframe.functions.scalar import clamp
+from voxframe.functions.scalar import clamp, let
 from voxframe.operators.compare import literal_rows
+from voxframe.session import small_or_plain
 
 
 def normalise_messages(df: DataFrame, text: str = "text") -> DataFrame:
@@ -144,7 +145,7 @@ def resolve_shades(beats: DataFrame, shades: DataFrame | None = None, shade: str
         F.col("cfg_weight").alias("_c"),
         F.col("temperature").alias("_t"),
     )
-    named = beats.withColumn("_name", F.lower(shade)).join(F.broadcast(dim), "_name", "left")
+    named = beats.withColumn("_name", F.lower(shade)).join(F.broadcast(dim) if shades is None else small_or_plain(dim), "_name", "left")
     labels = _from_labels(F.col(shade))
     values = [
         F.coalesce(F.col(n), label, F.lit(default))
@@ -169,7 +170,7 @@ def parse_storyboard(df: DataFrame, keys: Sequence[str], text: str = "text", sha
         F.col("cfg_weight").alias("_c"),
         F.col("temperature").alias("_t"),
     )
-    tagged = lines.withColumn("_name", F.lower(tag)).join(F.broadcast(dim), "_name", "left")
+    tagged = lines.withColumn("_name", F.lower(tag)).join(F.broadcast(dim) if shades is None else small_or_plain(dim), "_name", "left")
     given = F.struct(part(1, 0.3, 1.7).alias("e"), part(2, 0.1, 0.6).alias("c"), part(3, 0.3, 1.3).alias("t"))
     by_number = F.when(
         F.col("_line").rlike(numbers) & given["e"].isNotNull() & given["c"].isNotNull() & given["t"].isNotNull(), given
@@ -227,15 +228,16 @@ ACUTE = "́"
 
 def restore_case(original: Column, accented: Column) -> Column:
     """Give the accented form the capitals of the original; marks do not count."""
-    marks = F.split(accented, "")
-    letters = F.split(original, "")
 
-    def cased(ch: Column, i: Column) -> Column:
-        at = i + 1 - F.size(F.filter(F.slice(marks, 1, i), lambda c: c == ACUTE))
-        source = F.try_element_at(letters, at)
-        return F.when((ch != ACUTE) & source.rlike(r"\p{IsUppercase}"), F.upper(ch)).otherwise(ch)
+    def cased(marks: Column, letters: Column) -> Column:
+        def one(ch: Column, i: Column) -> Column:
+            at = i + 1 - F.size(F.filter(F.slice(marks, 1, i), lambda c: c == ACUTE))
+            source = F.try_element_at(letters, at)
+            return F.when((ch != ACUTE) & source.rlike(r"\p{IsUppercase}"), F.upper(ch)).otherwise(ch)
 
-    return F.array_join(F.transform(marks, cased), "")
+        return F.array_join(F.transform(marks, one), "")
+
+    return let(F.struct(F.split(accented, "").alias("m"), F.split(original, "").alias("l")), lambda s: cased(s["m"], s["l"]))
 
 
 def annotate_stress(
@@ -342,7 +344,7 @@ def personas(df: DataFrame, extra: dict[str, tuple] | None = None) -> DataFrame:
 
 def persona_reaction(df: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     """Input emotion through the persona; unknown personas mirror it."""
-    dim = F.broadcast(dimension if dimension is not None else personas(df))
+    dim = small_or_plain(dimension) if dimension is not None else F.broadcast(personas(df))
     joined = df.join(dim, "persona", "left")
     for axis, (rest, reacts) in zip(AXES, tables.PERSONA_DEFAULT):
         anchor = F.coalesce(f"{axis}_anchor", F.lit(tables.REST[rest]))

@@ -427,13 +427,27 @@ def corpus_wer(spark, sf):
     return out.withColumn("wer_pct", rnd(F.col("wer_pct"), 6))
 
 
-@query("turn_wer")
+#: Edit distance a reference word at a time: what a row of the table costs from above, then from the left as a prefix minimum.
+_TURN_WER = {
+    "tk": f"SELECT a.conv_id, a.turn, {_TOKENS.format('b.text')} AS rt, {_TOKENS.format('a.text')} AS ht FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn",
+    "dp": "SELECT conv_id, turn, 0 AS i, rt, ht, range(0, len(ht) + 1) AS row FROM tk UNION ALL "
+    "SELECT conv_id, turn, i + 1, rt, ht, list_transform(range(0, len(ht) + 1), lambda j: list_min(off[1:j + 1]) + j) FROM ("
+    "SELECT conv_id, turn, i, rt, ht, list_transform(range(0, len(ht) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(row[j + 1] + 1, row[j] + CASE WHEN rt[i + 1] = ht[j] THEN 0 ELSE 1 END) END - j) AS off "
+    "FROM dp WHERE i < len(rt))",
+    "sc": "SELECT conv_id, turn, row[len(ht) + 1] AS edits, len(rt) AS ref_words FROM dp WHERE i = len(rt)",
+}
+
+
+@query(
+    "turn_wer",
+    with_sql(_TURN_WER, f"SELECT conv_id, turn, edits, ref_words, {r('CASE WHEN ref_words > 0 THEN edits / ref_words * 100.0 ELSE 0 END', 6)} AS wer_pct FROM sc"),
+)
 def turn_wer(spark, sf):
     """Word error of every reply against the turn before it, whole texts."""
     turns = table(spark, sf, "conversations")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
     pairs = turns.join(before, ["conv_id", "turn"]).withColumnRenamed("text", "hypothesis")
-    return ops.score_transcripts(pairs).select("conv_id", "turn", "edits", "ref_words", rnd(F.col("wer_pct"), 6).alias("wer_pct"))
+    return ops.score_transcripts(pairs).select("conv_id", "turn", F.col("edits").cast("bigint").alias("edits"), F.col("ref_words").cast("bigint").alias("ref_words"), rnd(F.col("wer_pct"), 6).alias("wer_pct"))
 
 
 _LOG = (

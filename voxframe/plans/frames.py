@@ -193,10 +193,8 @@ def spectral_shape(spark, sf):
     "WHERE b >= 1 AND b < 80 AND m * m > 1e-20 GROUP BY vec_id",
 )
 def spectral_tilt(spark, sf):
-    bins = table(spark, sf, "embeddings").select(
-        "vec_id", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("bin", "mag")
-    )
-    return _rounded(signal.spectral_tilt(bins, ["vec_id"], 100.0), 6, "tilt_db_oct")
+    tilt = signal.array_tilt(F.transform("embedding", lambda x: x.cast("double")), 100.0)
+    return _rounded(table(spark, sf, "embeddings").select("vec_id", tilt.alias("tilt_db_oct")), 6, "tilt_db_oct")
 
 
 @query(
