@@ -123,7 +123,8 @@ def replay(data: np.ndarray, offsets: np.ndarray, merges: Merges) -> tuple[np.nd
                 heapq.heappush(ranks, r)
             where[r].append(part)
 
-    look(np.arange(n, dtype=np.int64))
+    for at in range(0, n, 1 << 18):  # in stretches, which bounds what the look-up holds
+        look(np.arange(at, min(n, at + (1 << 18)), dtype=np.int64))
     while ranks:
         rank = heapq.heappop(ranks)
         lists = where.pop(rank)
@@ -158,13 +159,13 @@ def _codes(merges, pattern: str):
         split = regex.compile(pattern)
         for batch in batches:
             texts = batch.column("text")
-            for row, stop, data, _ in slices(texts, 1 << 24):
+            for row, stop, data, _ in slices(texts, 1 << 23):
                 parts, counts, held, kept = [], [], [], 0
                 for text in texts.slice(row, stop - row):
                     found = split.findall(text.as_py() or "")
                     counts.append(len(found))
                     held += found
-                    if len(held) > 300_000:
+                    if len(held) > 100_000:
                         parts.append(pa.array(held, pa.string()))
                         held = []
                 parts.append(pa.array(held, pa.string()))
@@ -202,7 +203,7 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     and null ids are returned as they are; further columns are ignored; no rows give no rows.
 
     Rank tables are read by the driver and broadcast (a vocabulary, whose size does not depend
-    on the corpus). A task replays the merges over the distinct pieces of about 16 MB of text
+    on the corpus). A task replays the merges over the distinct pieces of about 8 MB of text
     at a time, so memory is bounded, nothing is shuffled and a lost task is simply run again.
     """
     merges = docs.sparkSession.sparkContext.broadcast(read_merges(path))
