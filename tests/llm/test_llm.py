@@ -147,23 +147,33 @@ def test_bands_reach_the_recall():
         near_join.choose_bands(0.2, 0.999999, 4)
 
 
-@pytest.mark.parametrize("near", [1, 8])
-def test_near_join(spark, near):
+@pytest.mark.parametrize("blocks", [{}, {"small": 3, "block_rows": 7}, {"small": 2, "block_grams": 900}, {"small": 1000}])
+def test_near_join(spark, blocks):
+    """Links, their numbers and classes equal brute force, however buckets are cut."""
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     rows = corpus(1)
-    for i in range(60):  # a group of near copies larger than what neighbours cover
+    for i in range(60):  # a group of near copies, most but not all of which are linked with each other
         own = list(base)
-        own[rng.randrange(120)] = f"n{i}"
+        for _ in range(1 + i % 3):
+            own[rng.randrange(120)] = f"n{i}"
         rows.append((1000 + i, " ".join(own)))
-    members, links = near_join.ngram_jaccard_links(frame(spark, rows), near=near)
     sets = {i: shingles(t) for i, t in rows}
-    pairs = links.collect()
-    assert all(len(sets[r.a] & sets[r.b]) >= 0.8 * len(sets[r.a] | sets[r.b]) for r in pairs)
-    assert len(pairs) < 60 * 59 // 2 or near > 1
-    if near > 1:
-        got = {r.doc_id: r.class_id for r in near_join.ngram_jaccard_join(frame(spark, rows)).collect()}
-        assert got == jaccard_classes(rows)
+    first = {}
+    for i, t in rows:
+        first.setdefault(t.lower(), i)
+    want = {
+        (a, b)
+        for a, b in itertools.combinations(sorted(first.values()), 2)
+        if sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    }
+    assert 100 < len(want & set(itertools.combinations(range(1000, 1060), 2))) < 60 * 59 // 2
+    _, links = near_join.ngram_jaccard_links(frame(spark, rows), recall=0.999999, **blocks)
+    pairs = [(r.a, r.b) for r in links.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    got = near_join.ngram_jaccard_join(frame(spark, rows), recall=0.999999, **blocks).collect()
+    assert {r.doc_id: r.class_id for r in got} == jaccard_classes(rows)
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(first[t.lower()] in p for p in want) for i, t in rows}
 
 
 def test_near_join_edges(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,12 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.common import run_of, stored
 from voxframe.llm.components import components
-from voxframe.llm.words import mix, slices, words
+from voxframe.llm.words import mix, ranges, slices, words
+
+#: Texts up to which a bucket gives its pairs; larger ones are compared in blocks.
+SMALL = 9
+#: Texts and n-grams of a block.
+BLOCK_ROWS, BLOCK_GRAMS = 10_000, 2_000_000
 
 
 def choose_bands(similarity: float = 0.8, recall: float = 0.999, hashes: int = 160) -> tuple[int, int]:
@@ -37,12 +43,14 @@ def _signatures(k: int, bands: int, rows: int):
         for batch in batches:
             keys = np.zeros((batch.num_rows, bands), np.int64)
             has = np.zeros(batch.num_rows, bool)
+            size = np.zeros(batch.num_rows, np.int64)
             for row, stop, data, offsets in slices(batch.column("text"), 1 << 19):
                 grams, _, per = words(data, offsets).grams(k)
                 some = np.flatnonzero(per)
                 if not len(some):
                     continue
                 has[row + some] = True
+                size[row + some] = per[some]
                 first = (np.cumsum(per) - per)[some]
                 h = (grams >> np.uint64(32)).astype(np.uint32)
                 least = np.empty((len(some), bands * rows), np.uint64)
@@ -52,7 +60,7 @@ def _signatures(k: int, bands: int, rows: int):
                 keys[row + some] = mix(band + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             at = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[has].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), lists], ["id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), lists, pa.array(size)], ["id", "digest", "bands", "size"])
 
     return run
 
@@ -64,7 +72,8 @@ def _sets(k: int):
                 grams, _, per = words(data, offsets).grams(k)
                 ends = np.cumsum(per)
                 sets = [np.unique(grams[e - n : e]).tobytes() for e, n in zip(ends, per)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, stop - row), pa.array(sets, pa.binary())], ["id", "grams"])
+                own = [batch.column(c).slice(row, stop - row) for c in ("id", "large")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sets, pa.binary())], ["id", "large", "grams"])
 
     return run
 
@@ -83,94 +92,169 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "similarity"])
 
 
-def candidate_pairs(reps: DataFrame, near: int, part_rows: int = 1000) -> DataFrame:
-    """(a, b), a < b: texts of a common bucket that are worth a comparison.
+def _block_links(similarity: float, bands: int, each: bool):
+    """Links within one block of a bucket, or between two: all of them, or per text their number and a root.
 
-    Within a bucket texts are sorted by their next bands, so that those which share most stand
-    side by side, and each meets the `near` texts after it: all pairs of a bucket of up to
-    near + 1 texts. In a larger bucket each also meets the hub, the text whose buckets hold
-    the most texts; in a group of near copies that is the one closest to all. A bucket of n
-    texts so yields about n * (near + 1) pairs, never n * n. Buckets beyond part_rows are cut
-    by the hash of the next band, so that no task sorts an unbounded group.
+    A pair that shares several large buckets is compared in the first of them alone.
     """
-    n = F.size("bands")
-    buckets = reps.select("id", F.posexplode("bands").alias("i", "bucket"), F.col("bands")).select(
-        "id", "bucket", F.col("bands")[(F.col("i") + 1) % n].alias("next"), F.col("bands")[(F.col("i") + 2) % n].alias("then")
-    )
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = stored(buckets.join(sizes, "bucket"), "buckets")
-    part = F.pmod(F.xxhash64("next"), F.ceil(F.col("members") / part_rows)).alias("part")
-    order = Window.partitionBy("bucket", "part").orderBy("next", "then", "id")
-    ahead = F.array(*[F.lead("id", j).over(order) for j in range(1, near + 1)])
-    beside = met.select("id", "bucket", "next", "then", part).select("id", ahead.alias("ahead"))
-    beside = beside.select("id", F.explode(F.array_compact("ahead")).alias("other"))
-    # hubs: minimum aggregates over a text's buckets and then over a bucket's texts, both combined before the shuffle
-    central = met.groupBy("id").agg(F.sum("members").alias("central"))
-    large = met.where(F.col("members") > near + 1)
-    hubs = large.join(central, "id").groupBy("bucket").agg(F.max(F.struct("central", -F.col("id"))).alias("hub")).select("bucket", (-F.col("hub.col2")).alias("other"))
-    star = large.join(hubs, "bucket").select("id", "other")
-    return beside.unionByName(star).where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
+        n, here = len(ids), table.column("i")[0].as_py()
+        slots = np.zeros((n, bands), np.int64)
+        for row, own in enumerate(table.column("large").to_pylist()):
+            for x in own:
+                slots[row, x["i"]] = x["bucket"]
+        grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in table.column("grams")]
+        size = np.array([len(g) for g in grams])
+        first = np.cumsum(size) - size
+        code = np.unique(np.concatenate(grams), return_inverse=True)[1]
+        mark = np.zeros(int(code.max()) + 1, bool)
+        lower = part == part.min()
+        left = np.flatnonzero(lower)
+        right = left if lower.all() else np.flatnonzero(~lower)
+        within = right is left
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        links, root = np.zeros(n, np.int64), ids.copy()
+        for k, a in enumerate(left):
+            to = right[k + 1 :] if within else right
+            to = to[np.minimum(size[to], size[a]) >= similarity * np.maximum(size[to], size[a])]
+            # the first large bucket of the two
+            to = to[~((slots[to, :here] == slots[a, :here]) & (slots[a, :here] != 0)).any(axis=1)]
+            if not len(to):
+                continue
+            own = code[first[a] : first[a] + size[a]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[code[ranges(first[to], size[to])]], np.cumsum(size[to]) - size[to], dtype=np.int64)
+            mark[own] = False
+            ratio = shared / (size[to] + size[a] - shared)
+            to, ratio = to[ratio >= similarity], ratio[ratio >= similarity]
+            if each:
+                found.append((np.full(len(to), ids[a]), ids[to], ratio))
+            elif len(to):
+                links[a] += len(to)
+                links[to] += 1
+                roots = np.unique(np.append(root[to], root[a]))
+                if len(roots) > 1:
+                    root[np.isin(root, roots)] = roots[0]
+        if each:
+            a, b, ratio = (np.concatenate(x) for x in zip(*found)) if found else (ids[:0], ids[:0], np.zeros(0))
+            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": ratio})
+        met = links > 0
+        return pa.table({"id": ids[met], "root": root[met], "n_links": links[met]})
+
+    return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose full n-gram sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(_similar, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+    """(a, b, similarity) of the pairs of small buckets whose full n-gram sets are similar enough.
+
+    Pairs that also share a large bucket are compared there.
+    """
+    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"), F.col("large").alias("large_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"), F.col("large").alias("large_b"))
+    met = pairs.join(right, "b").join(left, "a").where(~F.coalesce(F.arrays_overlap("large_a", "large_b"), F.lit(False)))
+    return met.select("a", "b", "grams_a", "grams_b").mapInArrow(_similar, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
 
 
-def ngram_jaccard_links(
-    docs: DataFrame,
-    k: int = 5,
-    similarity: float = 0.8,
-    recall: float = 0.999,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    near: int = 8,
-) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: doc_id, copy_id; links: a, b, similarity between copy_ids.
+@dataclass
+class Candidates:
+    members: DataFrame  # doc_id, copy_id
+    pairs: DataFrame  # a, b: texts of a common small bucket
+    blocks: DataFrame  # bucket, i, lo, hi, part, id: texts of large buckets, once for each block they are compared with
+    sets: DataFrame  # id, large, grams
+    bands: int
 
-    copy_id is the smallest id among the rows of equal lower-cased text, so copies are never
-    paired with each other. Texts whose MinHash bands meet are candidates (candidate_pairs),
-    and each candidate pair is verified on the full sets of n-grams.
+    def in_blocks(self, similarity: float, each: bool) -> DataFrame:
+        """Links of the large buckets: (a, b, similarity) each, or (id, root, n_links) for a text and a pair of blocks."""
+        schema = "a long, b long, similarity double" if each else "id long, root long, n_links long"
+        return self.blocks.join(self.sets, "id").groupBy("bucket", "lo", "hi").applyInArrow(_block_links(similarity, self.bands, each), schema)
+
+
+def candidates(
+    docs: DataFrame, k: int, similarity: float, recall: float, doc_id: str, text: str, small: int = SMALL, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS
+) -> Candidates:
+    """Texts whose bands meet.
+
+    A bucket of up to `small` texts gives its pairs. A larger one is cut into blocks by hash,
+    bounded in texts and n-grams, and every two blocks are compared in a task that receives
+    each n-gram set once; no pair is emitted before it is verified.
     """
     bands, rows = choose_bands(similarity, recall)
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     base = base.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    signed = stored(base.mapInArrow(_signatures(k, bands, rows), "id long, digest binary, bands array<long>"), "bands")
-    first = signed.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "bands")).alias("least"))
-    reps = stored(first.select("digest", F.col("least.id").alias("id"), F.col("least.bands").alias("bands")), "reps")
+    signed = stored(base.mapInArrow(_signatures(k, bands, rows), "id long, digest binary, bands array<long>, size long"), "bands")
+    first = signed.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "bands", "size")).alias("least"))
+    reps = stored(first.select("digest", "least.id", "least.bands", "least.size"), "reps")
     known = reps.where("id IS NOT NULL")
-    pairs = stored(candidate_pairs(known, near), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stored(
-        base.join(known.select("id", "digest").join(wanted, "id"), ["id", "digest"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets(k), "id long, grams binary"),
-        "sets",
+    buckets = known.select("id", "size", F.posexplode("bands").alias("i", "bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("grams")).where("members > 1")
+    met = stored(buckets.drop("size").join(sizes, "bucket"), "buckets")
+
+    order = Window.partitionBy("bucket").orderBy("id")
+    ahead = F.array_compact(F.array(*[F.lead("id", j).over(order) for j in range(1, small)]))
+    beside = met.where(F.col("members") <= small).select(F.col("id").alias("a"), ahead.alias("ahead"))
+    pairs = stored(beside.select("a", F.explode("ahead").alias("b")).where("a <> b").distinct(), "pairs")
+
+    large = met.where(F.col("members") > small)
+    parts = F.greatest(F.ceil(F.col("members") / block_rows), F.ceil(F.col("grams") / block_grams))
+    cut = large.select("bucket", "i", "id", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).select(
+        "bucket", "i", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id"
     )
+    slots = large.groupBy("id").agg(F.collect_list(F.struct("i", "bucket")).alias("large"))
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(slots.select("id")).distinct().join(slots, "id", "left")
+    texts = base.join(known.select("id", "digest").join(wanted, "id"), ["id", "digest"]).dropDuplicates(["id"]).select("id", "large", "text")
+    sets = stored(texts.mapInArrow(_sets(k), "id long, large array<struct<i:int,bucket:long>>, grams binary"), "sets")
     # a large group of copies meets its smallest id through runs, so no task receives all of it
     placed = signed.select("id", "digest", run_of(256, "id").alias("run"))
     per_run = placed.select("run", "digest").distinct().join(reps.select("digest", F.col("id").alias("copy_id")), "digest")
-    members = placed.join(per_run, ["run", "digest"])
-    return members.select(F.col("id").alias("doc_id"), "copy_id"), verified(pairs, sets, similarity)
+    members = placed.join(per_run, ["run", "digest"]).select(F.col("id").alias("doc_id"), "copy_id")
+    return Candidates(members, pairs, blocks, sets, bands)
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def ngram_jaccard_links(
+    docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, doc_id: str = "doc_id", text: str = "text", **blocks: int
+) -> tuple[DataFrame, DataFrame]:
+    """(members, links). members: doc_id, copy_id; links: a, b, similarity between copy_ids, a < b.
+
+    copy_id is the smallest id among the rows of equal lower-cased text, so copies are never
+    paired with each other. Texts whose MinHash bands meet are candidates, and each candidate
+    pair is verified on the full sets of n-grams.
+    """
+    found = candidates(docs, k, similarity, recall, doc_id, text, **blocks)
+    return found.members, verified(found.pairs, found.sets, similarity).unionByName(found.in_blocks(similarity, True))
+
+
+def ngram_jaccard_join(
+    docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, doc_id: str = "doc_id", text: str = "text", **blocks: int
+) -> DataFrame:
     """One row per document: doc_id, copy_id, class_id, n_links.
 
     Texts are lower-cased and cut at white space; a text of fewer than k words is one n-gram
     of all its words. Two texts are linked when the Jaccard similarity of their sets of k-word
     n-grams is at least `similarity`. copy_id is the smallest id of equal texts, class_id the
-    smallest id of all texts connected by links, n_links the number of links that the join
-    established for the text (in large groups of near copies: to its neighbours and the hub).
+    smallest id of all texts connected by links, n_links the number of different texts that
+    the text is linked to. Every two texts with a common band are compared. Large groups of
+    near copies are counted where they are compared; their links are not written out.
     Null and empty texts are copies of each other and have no links. Repeated rows are each
     returned; rows with a null id get the class of their copies, null if they have none but
     null ids. Further columns are ignored; no rows give no rows.
     """
-    members, links = ngram_jaccard_links(docs, k, similarity, recall, doc_id, text)
-    links = stored(links, "links")
-    roots = components(links)
-    counts = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    found = candidates(docs, k, similarity, recall, doc_id, text, **blocks)
+    links = stored(verified(found.pairs, found.sets, similarity).select("a", "b"), "links")
+    crowds = stored(found.in_blocks(similarity, False), "crowds")
+    roots = components(links.unionByName(crowds.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b")))
+    one = F.lit(1).cast("long").alias("n")
+    counts = (
+        links.select(F.col("a").alias("id"), one)
+        .unionByName(links.select(F.col("b").alias("id"), one))
+        .unionByName(crowds.select("id", F.col("n_links").alias("n")))
+        .groupBy("id")
+        .agg(F.sum("n").alias("n_links"))
+    )
     per_copy = roots.join(counts, "id").withColumnRenamed("id", "copy_id")
-    return members.join(per_copy, "copy_id", "left").select(
+    return found.members.join(per_copy, "copy_id", "left").select(
         "doc_id", "copy_id", F.coalesce("root", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
