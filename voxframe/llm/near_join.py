@@ -160,12 +160,21 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 @dataclass
 class Candidates:
-    members: DataFrame  # doc_id, copy_id
+    rows: DataFrame  # id, digest, run
+    copies: DataFrame  # run, digest, copy_id
     pairs: DataFrame  # a, b: texts of a common small bucket
     blocks: DataFrame  # bucket, i, lo, hi, part, id: texts of large buckets, once for each block they are compared with
     sets: DataFrame  # id, large, grams
     bands: int
 
+    def members(self, per_copy: DataFrame | None = None) -> DataFrame:
+        """doc_id, copy_id and what is known per copy.
+
+        A large group of copies meets it through runs, so no task receives all of the group.
+        """
+        copies = self.copies if per_copy is None else self.copies.join(per_copy, "copy_id", "left")
+        return self.rows.join(copies, ["run", "digest"]).drop("run", "digest").withColumnRenamed("id", "doc_id")
+
     def in_blocks(self, similarity: float, each: bool) -> DataFrame:
         """Links of the large buckets: (a, b, similarity) each, or (id, root, n_links) for a text and a pair of blocks."""
         schema = "a long, b long, similarity double" if each else "id long, root long, n_links long"
@@ -207,11 +216,9 @@ def candidates(
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(slots.select("id")).distinct().join(slots, "id", "left")
     texts = base.join(known.select("id", "digest").join(wanted, "id"), ["id", "digest"]).dropDuplicates(["id"]).select("id", "large", "text")
     sets = stored(texts.mapInArrow(_sets(k), "id long, large array<struct<i:int,bucket:long>>, grams binary"), "sets")
-    # a large group of copies meets its smallest id through runs, so no task receives all of it
     placed = signed.select("id", "digest", run_of(256, "id").alias("run"))
-    per_run = placed.select("run", "digest").distinct().join(reps.select("digest", F.col("id").alias("copy_id")), "digest")
-    members = placed.join(per_run, ["run", "digest"]).select(F.col("id").alias("doc_id"), "copy_id")
-    return Candidates(members, pairs, blocks, sets, bands)
+    copies = placed.select("run", "digest").distinct().join(reps.select("digest", F.col("id").alias("copy_id")), "digest")
+    return Candidates(placed, copies, pairs, blocks, sets, bands)
 
 
 def ngram_jaccard_links(
@@ -224,7 +231,7 @@ def ngram_jaccard_links(
     pair is verified on the full sets of n-grams.
     """
     found = candidates(docs, k, similarity, recall, doc_id, text, **blocks)
-    return found.members, verified(found.pairs, found.sets, similarity).unionByName(found.in_blocks(similarity, True))
+    return found.members(), verified(found.pairs, found.sets, similarity).unionByName(found.in_blocks(similarity, True))
 
 
 def ngram_jaccard_join(
@@ -255,6 +262,6 @@ def ngram_jaccard_join(
         .agg(F.sum("n").alias("n_links"))
     )
     per_copy = roots.join(counts, "id").withColumnRenamed("id", "copy_id")
-    return found.members.join(per_copy, "copy_id", "left").select(
+    return found.members(per_copy).select(
         "doc_id", "copy_id", F.coalesce("root", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
