@@ -165,3 +165,23 @@ def test_null_keys_and_null_order_values_stay(spark):
     assert filled.count() == 5
     assert ordered.order_statistics(df, ["k"], "v", {"low": lambda n: F.lit(0)}).count() == 2
     assert ordered.ema(placed, ["k"], "frame_idx", "v", 0.5).count() == 5
+
+
+def test_blocks_hold_about_as_many_rows_each(spark):
+    """An outlier, a burst and more blocks than quantiles; numbers follow the order."""
+    n = 40_000
+    df = spark.range(n).select((F.when(F.col("id") < n // 2, F.col("id") / 1e6).otherwise(F.col("id"))).cast("double").alias("x"))
+    df = df.unionByName(spark.createDataFrame([(1e12,), (None,), (float("nan"),)], "x double"))
+    for target in (1000, 20):
+        blocked = ordered.with_block(df, "x", target)
+        sizes = {r.block: r for r in blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+        assert sizes.pop(-1).n == 1 and sum(r.n for r in sizes.values()) == n + 2
+        assert max(r.n for r in sizes.values()) <= 2 * target + 8
+        order = [sizes[b] for b in sorted(sizes)]
+        assert all(a.hi < b.lo for a, b in zip(order, order[1:]))
+    assert ordered.with_block(df.limit(0), "x").count() == 0
+    spark.conf.set(ordered.BLOCK_CONF, "500")
+    try:
+        assert ordered.with_block(df, "x").select("block").distinct().count() > 60
+    finally:
+        spark.conf.unset(ordered.BLOCK_CONF)

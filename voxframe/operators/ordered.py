@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from voxframe.session import durable
 
 ROWS_PER_BLOCK = 250_000
+BLOCK_CONF = "spark.voxframe.rowsPerBlock"
+QUANTILES = 1024
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -47,27 +49,43 @@ def _attach(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFra
     return rows.join(named, same).drop(*[f"_k_{k}" for k in keys])
 
 
-def block_of(df: DataFrame, column: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
-    """Equal-width block number of an ordering column.
+def block_of(df: DataFrame, column: str, rows_per_block: int | None = None) -> Column:
+    """Block number of an ordering column, monotone in it, for blocks of about equal row counts.
 
-    The width comes from one scalar subquery (min, max, count): even if a single
-    series held every row, a block would hold ``rows_per_block`` on average. A null
-    ordering value comes first, in a block of its own (-1).
+    One aggregation over the input gives the row count and up to 1024 quantiles; they enter
+    the plan as literals, so every use of the column sees the same borders. Outlying and
+    bursty values therefore do not fill a block. Where more blocks are wanted than there are
+    quantiles, each stretch between two of them is cut into equal widths. The target size is
+    ``rows_per_block``, else the session's ``spark.voxframe.rowsPerBlock``, else
+    ``ROWS_PER_BLOCK``. Equal values share a block. A null ordering value comes first, in a
+    block of its own (-1); NaN is in the last block.
     """
     x = _as_number(df, column).cast("double")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / rows_per_block), F.lit(1))
-    stats = df.agg(
-        F.struct(
-            F.min(x).alias("lo"),
-            blocks.alias("n"),
-            F.greatest((F.max(x) - F.min(x)) / blocks, F.lit(1e-9)).alias("width"),
-        ).alias("s")
-    ).scalar()
-    raw = F.floor((x - stats.getField("lo")) / stats.getField("width"))
-    return F.when(x.isNull(), F.lit(-1).cast("bigint")).otherwise(F.least(raw, stats.getField("n").cast("bigint") - 1))
-
-
-def with_block(df: DataFrame, order: str, rows_per_block: int = ROWS_PER_BLOCK, name: str = "block") -> DataFrame:
+    target = rows_per_block or int(df.sparkSession.conf.get(BLOCK_CONF, str(ROWS_PER_BLOCK)))
+    marks = [i / QUANTILES for i in range(QUANTILES + 1)]
+    stats = df.agg(F.count(x).alias("n"), F.percentile_approx(F.when(~F.isnan(x), x), marks).alias("at")).first()
+    blocks = -(-stats["n"] // target)
+    if blocks <= 1 or not stats["at"]:
+        return F.when(x.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+    pieces = min(blocks, QUANTILES)
+    cells = -(-blocks // pieces)
+    edges = sorted({stats["at"][i * QUANTILES // pieces] for i in range(pieces + 1)})
+    inner = edges[1:-1]
+    piece = F.lit(0)
+    if inner:
+        # first among every 32nd border, then among the 32 from there on
+        tops = F.array(*map(F.lit, inner[::32]))
+        group = F.greatest(F.size(F.filter(tops, lambda e: e <= x)) - 1, F.lit(0)) * 32
+        piece = group + F.size(F.filter(F.slice(F.array(*map(F.lit, inner)), group + 1, 32), lambda e: e <= x))
+    block = piece.cast("bigint") * cells
+    if cells > 1 and len(edges) > 1:
+        low, high = (F.element_at(F.array(*map(F.lit, side)), piece + 1) for side in (edges[:-1], edges[1:]))
+        cell = F.floor((x - low) / (high - low) * cells)
+        block = block + F.when(F.isnan(x), cells - 1).otherwise(F.greatest(F.lit(0), F.least(cell, F.lit(cells - 1))))
+    return F.when(x.isNull(), F.lit(-1).cast("bigint")).otherwise(block)
+
+
+def with_block(df: DataFrame, order: str, rows_per_block: int | None = None, name: str = "block") -> DataFrame:
     return df.withColumn(name, block_of(df, order, rows_per_block))
 
 
@@ -202,7 +220,7 @@ def order_statistics(
     keys: Sequence[str],
     value: str,
     ranks: dict[str, Callable[[Column], Column]],
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
     """The value at an exact zero-based rank per key, e.g. ``floor(n * 0.1)``.
 
