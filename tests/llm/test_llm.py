@@ -363,6 +363,37 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.suffix_dedup(frame(spark, EDGE[:0])).count() == 0
 
 
+def repeated_words(rows, window=50):
+    """By brute force: of each document the words in windows that also stand elsewhere."""
+    places, out = {}, {}
+    for i, t in rows:
+        w = t.split()
+        for s in range(len(w) - window + 1):
+            places.setdefault(tuple(w[s : s + window]), []).append((i, s))
+    for i, s in (x for found in places.values() if len(found) > 1 for x in found):
+        out.setdefault(i, set()).update(range(s, s + window))
+    return out
+
+
+@pytest.mark.parametrize("rows_at_a_time", [20_000, 8])
+def test_suffix_dedup_finds_what_neighbours_miss(spark, monkeypatch, rows_at_a_time):
+    """Passages whose partner is no neighbour, since many others share either half, and overlapping repeats with different partners."""
+    monkeypatch.setattr(suffix_dedup, "SORT_ROWS", rows_at_a_time)
+    rng, rows = random.Random(11), []
+    word = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(12):
+        p, q, r = word(17), word(17), word(17)
+        parts = [[p, q] if k % 2 else [q, r] for k in range(60)] + [[p, q, r]] * 2
+        rows += [(len(rows) + i, " ".join(sum([word(40), *x, word(40)], []))) for i, x in enumerate(parts)]
+        long = word(80)
+        rows += [(len(rows) + i, " ".join(word(30) + long[a:b] + word(30))) for i, (a, b) in enumerate([(0, 80), (0, 59), (22, 77), (25, 80)])]
+    got = {}
+    for x in suffix_dedup.suffix_dedup(frame(spark, rows)).collect():
+        got.setdefault(x.doc_id, set()).update(range(x.start_word, x.end_word))
+        assert x.other_id is not None and (x.other_id, x.other_start) != (x.doc_id, x.start_word)
+    assert got == repeated_words(rows)
+
+
 def test_words_end_at_texts_and_spaces():
     texts = [b"a b", b"", b"\xc3\xa4\tc ", b"d"]
     w = words(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))

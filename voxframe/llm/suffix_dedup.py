@@ -1,4 +1,4 @@
-"""Suffix-array dedup: suffixes at minimiser positions are sorted, neighbours compared and matches extended both ways."""
+"""Suffix-array dedup: suffixes at minimiser positions are sorted, neighbours compared and matches extended both ways; windows they miss are found by hash."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.llm.common import stored
-from voxframe.llm.substring_dedup import sliding_min
+from voxframe.llm.substring_dedup import segments_of, sliding_min
 from voxframe.llm.words import _WORD, Words, mix, ranges, slices, sums, words
 
 #: Words of the n-gram at a retained suffix.
@@ -20,6 +20,8 @@ GRAM = 8
 CROWD = 2_000
 #: Suffixes a task sorts and compares at a time, and neighbours each is compared with.
 SORT_ROWS, NEAR = 20_000, 4
+#: What a task of suffixes gives: spans of neighbours, and the segments that pass through it, told by a hash of their words.
+FOUND = "doc long, tie int, start int, end int, other long, other_start int, route long, content long, twice boolean, hashes array<long>"
 
 
 def samples_of(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +68,39 @@ def _sample(window: int):
 
 
 def _cut(window: int):
-    """The words before and after each suffix; those before in reverse, so that both run away from it."""
+    """The words before and after each suffix, those before in reverse, so that both run away from it; and the segments of its n-gram with a hash of each window."""
+    kind = pa.schema(
+        [("route", pa.int64()), ("doc", pa.int64()), ("tie", pa.int32()), ("pos", pa.int32()), ("right", pa.binary()), ("left", pa.binary())]
+        + [("end", pa.int32()), ("gram", pa.int64()), ("content", pa.int64()), ("twice", pa.bool_()), ("hashes", pa.list_(pa.int64()))]
+    )
+
+    def batch_of(columns: list) -> pa.RecordBatch:
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+
+    def segments(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row, end, data, offsets in slices(part.column("text")):
+            w = words(data, offsets)
+            text, first, size, gram, content, twice = segments_of(w, window, GRAM)
+            # of each text the n-grams that others share
+            wanted = part.column("wanted").slice(row, end - row)
+            owner = np.repeat(np.arange(end - row), wanted.value_lengths().to_numpy(zero_copy_only=False))
+            shared = np.unique(np.stack([owner, wanted.flatten().field("route").to_numpy()], axis=1), axis=0)
+            known = np.zeros(len(text), bool)
+            keys = np.ascontiguousarray(shared).view([("t", np.int64), ("g", np.int64)]).reshape(-1)
+            own = np.ascontiguousarray(np.stack([text, gram], axis=1)).view(keys.dtype).reshape(-1)
+            known = np.isin(own, keys) if len(own) else known
+            text, first, size, gram, content, twice = (x[known] for x in (text, first, size, gram, content, twice))
+            if not len(text):
+                continue
+            per = size - window + 1
+            start = ranges(w.first[:-1][text] + first, per)
+            hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(sums(w.hash, _WORD, start, start + window).view(np.int64)))
+            at = pa.array(text + row)
+            doc, tie = part.column("doc").take(at), part.column("tie").take(at)
+            # they only pass through, so they are spread evenly
+            spread = mix(content.view(np.uint64) ^ mix(doc.to_numpy().view(np.uint64) + first.astype(np.uint64))).view(np.int64)
+            yield batch_of([spread, doc, tie, first.astype(np.int32), None, None, (first + size).astype(np.int32), gram, content, twice, hashes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,8 +120,8 @@ def _cut(window: int):
                         rows.append((hash_of(right[: 2 * GRAM], 1), *row))
                         if len(left) >= GRAM:
                             rows.append((hash_of(right[:GRAM] + left[:GRAM], 2), *row))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["route", "doc", "tie", "pos", "right", "left"])
+                yield batch_of([*([r[i] for r in rows] for i in range(6)), *[None] * 5])
+                yield from segments(part)
 
     def hash_of(parts: list[bytes], kind: int) -> int:
         return int.from_bytes(hashlib.blake2b(b" ".join(parts), digest_size=8, person=bytes([kind])).digest(), "little", signed=True)
@@ -139,18 +173,31 @@ def neighbour_matches(route: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos:
 
 
 def _compare(window: int):
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    kind = pa.schema(list(zip([x.split()[0] for x in FOUND.split(", ")], types)))
+
     def chunk(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
         route, doc, tie, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("route", "doc", "tie", "pos"))
         right, left = _matrix(table.column("right"), window, 1), _matrix(table.column("left"), window - 1, 2)
         row, before, after, other = neighbour_matches(route, doc, tie, pos, right, left, window)
         columns = (doc[row], tie[row], pos[row] - before, pos[row] + after, doc[other], pos[other] - before)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "tie", "start", "end", "other", "other_start"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types)), *(pa.nulls(len(row), t) for t in types[6:])], schema=kind)
+
+    def passing(batch: pa.RecordBatch) -> pa.RecordBatch:
+        none = [pa.nulls(batch.num_rows, t) for t in types[4:6]]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "tie", "pos", "end")), *none, *(batch.column(c) for c in ("gram", "content", "twice", "hashes"))], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
+            segment = batch.column("right").is_null()
+            if segment.true_count:
+                yield passing(batch.filter(segment))
+            batch = batch.filter(pa.array(~segment.to_numpy(zero_copy_only=False))).select(["route", "doc", "tie", "pos", "right", "left"])
+            if not batch.num_rows:
+                continue
             route = batch.column("route").to_numpy()
             at = 0
             for cut in (np.flatnonzero(route[1:] != route[:-1]) + 1).tolist():
@@ -168,6 +215,42 @@ def _compare(window: int):
     return run
 
 
+def _other(low: str, high: str, place: Column) -> Column:
+    """The least place, or the greatest where the least is the row's own."""
+    return F.when(F.col(low) == place, F.col(high)).otherwise(F.col(low))
+
+
+def exact_spans(segments: DataFrame, window: int) -> DataFrame:
+    """doc, tie, start, end, other, other_start of every window that also stands elsewhere, of segments that share their n-gram.
+
+    Equal windows have the same smallest n-gram. Equal segments are told by a hash of all
+    their words, the windows of the different ones by a hash of theirs; both aggregate to the
+    least and greatest place before the shuffle, so a passage that a third of all documents
+    hold is one row for each task.
+    """
+    place = F.struct("doc", "tie", "start")
+    equal = segments.groupBy("route", "content").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("twice").alias("twice"))
+    equal = stored(equal, "equal-segments")
+    again = segments.select("doc", "tie", "start", "end", "route", "content").join(equal.where("low < high"), ["route", "content"])
+    other = _other("low", "high", place)
+    again = again.select("doc", "tie", "start", "end", other["doc"].alias("other"), other["start"].alias("other_start"))
+    # the windows of one segment for each content, where another content or the segment itself may hold them again
+    several = equal.groupBy("route").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("any")).where("k > 1 OR any").select("route")
+    chosen = equal.join(several, "route", "left_semi").select("route", "content", "low.*", (F.col("low") == F.col("high")).alias("single"))
+    windows = segments.select("doc", "tie", "start", "route", "content", "hashes").join(chosen, ["doc", "tie", "start", "route", "content"])
+    windows = windows.select("doc", "tie", "single", "route", "start", F.posexplode("hashes").alias("k", "hash")).select("doc", "tie", "single", "route", "hash", (F.col("start") + F.col("k")).alias("start"))
+    windows = stored(windows, "windows")
+    met = windows.groupBy("route", "hash").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("single").alias("single"))
+    # a table of its own, so that the join may split a hash that very many segments hold
+    met = stored(met.where("low < high AND single").select("route", "hash", "low", "high"), "met-windows")
+    hits = windows.where("single").join(met, ["route", "hash"]).select("doc", "tie", "start", other.alias("at"))
+    shift = F.col("at.start") - F.col("start")
+    # windows that begin within one window's length of each other make one span
+    hits = hits.groupBy("doc", "tie", F.col("at.doc").alias("other"), F.col("at.tie").alias("other_tie"), shift.alias("shift"), F.floor(F.col("start") / window).alias("stretch"))
+    hits = hits.agg(F.min("start").alias("start"), (F.max("start") + window).cast("int").alias("end"))
+    return again.unionByName(hits.select("doc", "tie", "start", "end", "other", (F.col("start") + F.col("shift")).alias("other_start")))
+
+
 def suffix_dedup(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per repeated passage of a document: doc_id, start_word, end_word, n_words, other_id, other_start.
 
@@ -182,7 +265,9 @@ def suffix_dedup(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text
     Of every `window` words at least one suffix is kept, chosen by content (the smallest
     n-gram hash), so a repeated passage keeps the same suffixes in all its places. Suffixes
     whose first n-gram no other shares are dropped; the rest fetch `window` words either way,
-    are sorted within the partition of their n-gram and compared with their neighbours.
+    are sorted within the partition of their n-gram and compared with their neighbours. What
+    neighbours miss is found exactly: every window whose smallest n-gram another place shares
+    is looked up by its hash (exact_spans), and a passage is the union of all of them.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = own.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
@@ -193,14 +278,17 @@ def suffix_dedup(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text
     counts = sampled.groupBy("route").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     met = stored(sampled.join(counts, "route").select("doc", "tie", "pos", "route", (F.col("k") > CROWD).alias("crowded")), "suffixes")
     wanted = met.groupBy("doc", "tie").agg(F.collect_set(F.struct("pos", "route", "crowded")).alias("wanted"))
-    spans = stored(
+    found = stored(
         own.join(wanted, ["doc", "tie"])
-        .mapInArrow(_cut(window), "route long, doc long, tie int, pos int, right binary, left binary")
+        .mapInArrow(_cut(window), "route long, doc long, tie int, pos int, right binary, left binary, end int, gram long, content long, twice boolean, hashes array<long>")
         .repartition("route")
         .sortWithinPartitions("route", "right")
-        .mapInArrow(_compare(window), "doc long, tie long, start long, end long, other long, other_start long"),
+        .mapInArrow(_compare(window), FOUND),
         "spans",
     )
+    near = found.where("content IS NULL").select("doc", "tie", "start", "end", "other", "other_start")
+    longs = [F.col(c).cast("long").alias(c) for c in ("doc", "tie", "start", "end", "other", "other_start")]
+    spans = near.unionByName(exact_spans(found.where("content IS NOT NULL"), window)).select(longs)
     # spans of a document that overlap are parts of one passage
     by_start = Window.partitionBy("doc", "tie").orderBy("start", F.desc("end"))
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
