@@ -423,6 +423,22 @@ def test_html_extraction(spark):
     assert html_text.html_extraction(frame(spark, rows[:0], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("m", [8, 1_000])
+def test_html_article_keeps_what_many_pages_share(spark, m):
+    """Prose of the article stays however many pages repeat it, other text of it unless nearly all do, whatever the size of the host."""
+    rows = []
+    for i in range(m):
+        shared = "".join(f"<{t}>shared {t}</{t}>" for t in ("p", "h2", "blockquote"))
+        some = "<ul><li>on many</ul><div>note on many</div>" if i % 8 else ""
+        rows.append((i, f"http://h/{i}", f"<body><article>{shared}<p>own {i}</p>{some}</article></body>"))
+        rows.append((m + i, f"http://plain/{i}", f"<body><div>own {i}</div><section>{'quoted' if i % 3 == 0 else i}</section><b>all pages</b></body>"))
+    got = {r.page_id: r.text for r in html_text.html_extraction(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    for i in range(m):
+        more = ["on many", "note on many"] if i % 8 else []
+        assert got[i].split("\n\n") == ["shared p", "shared h2", "shared blockquote", f"own {i}", *more]
+        assert got[m + i].split("\n\n") == [f"own {i}", "quoted" if i % 3 == 0 else str(i)]
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc(spark, compression):
     inner = "x WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n é"

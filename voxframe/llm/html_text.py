@@ -35,8 +35,13 @@ HINT = re.compile(
 )
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|site-head)(?:$|[\s_-])", re.IGNORECASE)
 
+#: Elements of the marked article that are never cut for being repeated.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dt dd figcaption caption address".split())
+
 #: Weight of content against presentation, importance under which a branch is cut, and pages a host needs for it.
 CONTENT_WEIGHT, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.2, 8
+#: Share of a host's pages that must show a text at one place for it to be cut, outside the marked article and within it.
+SHARE, ARTICLE_SHARE = 0.5, 0.95
 
 
 def _hash(text: str) -> int:
@@ -44,10 +49,10 @@ def _hash(text: str) -> int:
 
 
 class Page:
-    """Blocks of a page in order: (style path, text, within the article), and the child sequences of its elements."""
+    """Blocks of a page in order: (style path, text, within the article, never cut), and the child sequences of its elements outside the article."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[int, str, bool]] = []
+        self.blocks: list[tuple[int, str, bool, bool]] = []
         self.sequences: list[tuple[int, int]] = []
         # of each open element: tag, path, labels of its children, dropped, within the article
         self.stack: list[tuple[str, int, list[str], bool, bool]] = [("", 0, [], False, False)]
@@ -85,11 +90,11 @@ class Page:
             if text:
                 # inline elements that are still open are not part of the block's place
                 level = next(x for x in reversed(self.stack) if x[0] not in INLINE)
-                self.blocks.append((level[1], text, level[4]))
+                self.blocks.append((level[1], text, level[4], level[4] and level[0] in PROSE))
 
     def pop(self) -> None:
-        tag, path, children, dropped, _ = self.stack.pop()
-        if children and not dropped:
+        tag, path, children, dropped, article = self.stack.pop()
+        if children and not dropped and not article:
             self.sequences.append((path, _hash(" ".join(children))))
 
     def open(self, tag: str, attributes: str) -> None:
@@ -143,10 +148,9 @@ class Page:
             self.pop()
         self.pop()
 
-    def main(self) -> list[tuple[int, str]]:
+    def main(self) -> list[tuple[int, str, bool, bool]]:
         """The article's blocks; all of them where no element is marked as the article."""
-        within = [(p, t) for p, t, article in self.blocks if article]
-        return within or [(p, t) for p, t, _ in self.blocks]
+        return [b for b in self.blocks if b[2]] or self.blocks
 
 
 def host_of(url: Column) -> Column:
@@ -155,40 +159,44 @@ def host_of(url: Column) -> Column:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each page the distinct (path, content) and (path, child sequence) nodes, and a hash of all its blocks."""
-    kind = pa.list_(pa.struct([("path", pa.int64()), ("what", pa.int64()), ("content", pa.bool_())]))
+    kind = pa.list_(pa.struct([("path", pa.int64()), ("what", pa.int64()), ("content", pa.bool_()), ("article", pa.bool_())]))
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             nodes, whole = [], []
             for source in part.column("html"):
                 page = Page(source.as_py())
-                own = {(p, _hash(t), True) for p, t, _ in page.blocks} | {(p, s, False) for p, s in page.sequences}
-                nodes.append([{"path": p, "what": w, "content": c} for p, w, c in sorted(own)])
-                whole.append(_hash("\n".join(t for _, t in page.main())))
+                own = {(p, _hash(t), True, a) for p, t, a, prose in page.blocks if not prose} | {(p, s, False, False) for p, s in page.sequences}
+                nodes.append([{"path": p, "what": w, "content": c, "article": a} for p, w, c, a in sorted(own)])
+                whole.append(_hash("\n".join(b[1] for b in page.main())))
             yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(whole, pa.int64()), pa.array(nodes, kind)], ["host", "page", "nodes"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, what): branches to cut; what is null for a path as a whole, else the content to cut there.
+    """(host, path, what, article): branches to cut; what is null for a path as a whole, else the content to cut there.
 
     Over the m distinct pages of a host that have a node, the entropy of its contents (how
     evenly each text is spread over the pages) and of its child sequences give its importance:
     1 for a node whose text differs from page to page, 0 for one that is the same everywhere.
-    A single text that most pages show at one place is cut alone.
+    A branch outside the marked article is cut if its importance is low and its texts stand on
+    half of the pages each, in the mean; a single text that half of them show at one place is
+    cut alone. These shares do not fall with m. Within the article no branch is cut as a whole
+    and no prose at all; another text, if nearly all pages show it at one place.
     """
-    merged = pages.mapInArrow(_merge, "host string, page long, nodes array<struct<path:long,what:long,content:boolean>>")
+    merged = pages.mapInArrow(_merge, "host string, page long, nodes array<struct<path:long,what:long,content:boolean,article:boolean>>")
     # copies of a page, of which a host may have very many, count once
     once = merged.groupBy("host", "page").agg(F.min("nodes").alias("nodes"))
     each = (
         once.select("host", F.explode("nodes").alias("node"))
-        .groupBy("host", "node.path", "node.what", "node.content")
+        .groupBy("host", "node.path", "node.what", "node.content", "node.article")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     each = stored(each, "nodes")
     n, content = F.col("n"), F.col("content")
-    paths = each.groupBy("host", "path").agg(
+    paths = each.where("NOT article").groupBy("host", "path").agg(
         F.sum(F.when(content, n)).alias("texts"),
         F.sum(F.when(content, n * F.log(n.cast("double")))).alias("text_spread"),
+        F.sum(F.when(content, n.cast("double") * n)).alias("text_pages"),
         F.sum(F.when(~content, n)).alias("shapes"),
         F.sum(F.when(~content, n * F.log(n.cast("double")))).alias("shape_spread"),
     )
@@ -200,9 +208,11 @@ def style_tree(pages: DataFrame) -> DataFrame:
         paths.where("texts > 0")
         .join(sizes, "host")
         .where(CONTENT_WEIGHT * text_importance + (1 - CONTENT_WEIGHT) * shape_importance < LEAST_IMPORTANCE)
-        .select("host", "path", F.lit(None).cast("long").alias("what"))
+        .where(F.col("text_pages") / F.col("texts") >= SHARE * F.col("m"))
+        .select("host", "path", F.lit(None).cast("long").alias("what"), F.lit(False).alias("article"))
     )
-    texts = each.where(content).join(sizes, "host").where(1 - F.log(n.cast("double")) / m < LEAST_IMPORTANCE / 2).select("host", "path", "what")
+    least = F.col("m") * F.when(F.col("article"), ARTICLE_SHARE).otherwise(SHARE)
+    texts = each.where(content).join(sizes, "host").where(n >= least).select("host", "path", "what", "article")
     return branches.unionByName(texts)
 
 
@@ -212,9 +222,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 256)
             texts = []
             for source, cut in zip(part.column("html"), part.column("cut").to_pylist()):
-                gone = {(x["path"], x["what"]) for x in cut or []}
+                gone = {(x["path"], x["what"], x["article"]) for x in cut or []}
                 blocks = Page(source.as_py()).main()
-                texts.append("\n\n".join(t for p, t in blocks if (p, None) not in gone and (p, _hash(t)) not in gone) if gone else "\n\n".join(t for _, t in blocks))
+                if gone:
+                    blocks = [b for b in blocks if b[3] or ((b[0], None, b[2]) not in gone and (b[0], _hash(b[1]), b[2]) not in gone)]
+                texts.append("\n\n".join(b[1] for b in blocks))
             keep = [c for c in part.schema.names if c not in ("html", "cut", "host")]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
@@ -234,6 +246,6 @@ def html_extraction(pages: DataFrame, page_id: str = "page_id", url: str = "url"
     shuffle, and what is cut is one row per host, bounded by the styles the host uses.
     """
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(F.col(url)).alias("host"))
-    cuts = stored(style_tree(named.select("host", "html")).groupBy("host").agg(F.collect_set(F.struct("path", "what")).alias("cut")), "style-cuts")
+    cuts = stored(style_tree(named.select("host", "html")).groupBy("host").agg(F.collect_set(F.struct("path", "what", "article")).alias("cut")), "style-cuts")
     schema = StructType([named.schema["page_id"], named.schema["url"]]).add("text", "string")
     return named.join(small_side(cuts, 10_000), "host", "left").mapInArrow(_extract, schema).withColumn("n_chars", F.char_length("text").cast("long"))
