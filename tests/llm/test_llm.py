@@ -439,6 +439,21 @@ def test_html_article_keeps_what_many_pages_share(spark, m):
         assert got[m + i].split("\n\n") == [f"own {i}", "quoted" if i % 3 == 0 else str(i)]
 
 
+def test_html_names_do_not_drop_the_article():
+    story = "<h1>Title</h1><p>the whole story, told at some length</p><div class='related'><article>teaser</article></div>"
+    text = lambda source: [b[1] for b in html_text.Page(source).main()]
+    want = ["Title", "the whole story, told at some length"]
+    for name in ("layout has-sidebar", "no-sidebar", "elementor-widget elementor-widget-text-editor", "widget", "page-header", "social share"):
+        assert text(f"<body><div class='menu'>menu</div><div class='{name}'><div>x<article>{story}</article></div></div></body>") == want
+        assert text(f"<body><div class='{name}'><div role='main'>{story}</div></div><div class='sidebar'>side</div></body>") == want
+    # without a marked article names count for less than their absence, but more than nothing
+    assert text("<div class='elementor-widget elementor-widget-text-editor'><p>story</p></div><nav>nav</nav>") == ["story"]
+    assert text("<div class='no-sidebar'><p>story</p></div><div class='sidebar'>side</div>") == ["story"]
+    # comments are no article where a longer text stands outside them
+    assert text("<div><p>a longer story</p></div><div class='comments'><article>reply</article></div>") == ["a longer story"]
+    assert text("<article><p>story</p><section id='comments'><article>reply</article></section></article>") == ["story"]
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc(spark, compression):
     inner = "x WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n é"

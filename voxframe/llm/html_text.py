@@ -33,11 +33,15 @@ HINT = re.compile(
     r"disqus|respond|replies|widget|pagination|pager|login|signup|search|toolbar|skip|copyright|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Class tokens that tell how a page is laid out, not what an element is.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|hide|show)[-_]\S*", re.IGNORECASE)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|site-head)(?:$|[\s_-])", re.IGNORECASE)
 
 #: Elements of the marked article that are never cut for being repeated.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th dt dd figcaption caption address".split())
 
+#: How far a branch is dropped: by a name that stands for boilerplate, or by its kind.
+NAMED, GONE = 1, 2
 #: Weight of content against presentation, importance under which a branch is cut, and pages a host needs for it.
 CONTENT_WEIGHT, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.2, 8
 #: Share of a host's pages that must show a text at one place for it to be cut, outside the marked article and within it.
@@ -49,13 +53,17 @@ def _hash(text: str) -> int:
 
 
 class Page:
-    """Blocks of a page in order: (style path, text, within the article, never cut), and the child sequences of its elements outside the article."""
+    """Blocks of a page in order: (style path, text, within the article, never cut, within a branch named as boilerplate), and the child sequences of its elements outside the article.
+
+    Outside the marked article a name does not drop a branch: its text is taken if the page has
+    no other, and an article within it if it holds more than what is named as nothing.
+    """
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[int, str, bool, bool]] = []
+        self.blocks: list[tuple[int, str, bool, bool, bool]] = []
         self.sequences: list[tuple[int, int]] = []
-        # of each open element: tag, path, labels of its children, dropped, within the article
-        self.stack: list[tuple[str, int, list[str], bool, bool]] = [("", 0, [], False, False)]
+        # of each open element: tag, path, labels of its children, how far dropped, within the article, that within a named branch
+        self.stack: list[tuple[str, int, list[str], int, bool, bool]] = [("", 0, [], 0, False, False)]
         self.held: list[str] = []
         at = 0
         scan = TOKEN.search
@@ -80,7 +88,7 @@ class Page:
             self.pop()
 
     def text(self, raw: str) -> None:
-        if not self.stack[-1][3]:
+        if self.stack[-1][3] < GONE:
             self.held.append(raw)
 
     def flush(self) -> None:
@@ -90,10 +98,10 @@ class Page:
             if text:
                 # inline elements that are still open are not part of the block's place
                 level = next(x for x in reversed(self.stack) if x[0] not in INLINE)
-                self.blocks.append((level[1], text, level[4], level[4] and level[0] in PROSE))
+                self.blocks.append((level[1], text, level[4], level[4] and level[0] in PROSE, level[3] == NAMED or level[5]))
 
     def pop(self) -> None:
-        tag, path, children, dropped, article = self.stack.pop()
+        tag, path, children, dropped, article, _ = self.stack.pop()
         if children and not dropped and not article:
             self.sequences.append((path, _hash(" ".join(children))))
 
@@ -119,20 +127,25 @@ class Page:
                 hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and bool(re.search(r"display\s*:\s*none", value)))
                 if key in ("class", "id", "role"):
                     marks.append(value)
-        _, above, children, dropped, article = self.stack[-1]
+        _, above, children, dropped, article, named = self.stack[-1]
         label = f"{tag}.{marks[0]}" if marks else tag
         children.append(label)
         main = tag in ("article", "main") or "main" in marks
-        own = (
-            tag in DROPPED
-            or hidden
-            or any(HINT.search(m) for m in marks if not (tag in ("body", "html", "article", "main")))
-            or (not article and not main and tag not in ("body", "html") and (tag == "header" or any(HEADER.search(m) for m in marks)))
-        )
+        hints = [LAYOUT.sub("", m) for m in marks]
+        own = 0
+        if tag in DROPPED or hidden or (tag == "header" and not article and not main):
+            own = GONE
+        elif tag not in ("body", "html", "article", "main") and any(HINT.search(m) for m in hints) or (
+            not article and not main and tag not in ("body", "html") and any(HEADER.search(m) for m in hints)
+        ):
+            own = GONE if article or tag in INLINE else NAMED
+        dropped = max(dropped, own)
+        if main and not article and dropped == NAMED:
+            dropped, named = 0, True
         if tag in INLINE:
-            self.stack.append((tag, above, children, dropped or own, article))
+            self.stack.append((tag, above, children, dropped, article, named))
         else:
-            self.stack.append((tag, _hash(f"{above}/{label}"), [], dropped or own, article or main))
+            self.stack.append((tag, _hash(f"{above}/{label}"), [], dropped, article or main, named))
 
     def close(self, tag: str) -> None:
         if tag in ("br", "p") and not any(x[0] == tag for x in self.stack):
@@ -148,9 +161,16 @@ class Page:
             self.pop()
         self.pop()
 
-    def main(self) -> list[tuple[int, str, bool, bool]]:
-        """The article's blocks; all of them where no element is marked as the article."""
-        return [b for b in self.blocks if b[2]] or self.blocks
+    def main(self) -> list[tuple[int, str, bool, bool, bool]]:
+        """The article's blocks; without an element marked as the article, those outside named branches; else the rest."""
+        found = {(article, named): [] for article in (True, False) for named in (True, False)}
+        for b in self.blocks:
+            found[b[2], b[4]].append(b)
+        if found[True, False]:
+            return found[True, False]
+        size = lambda blocks: sum(len(b[1]) for b in blocks)
+        inner, plain = found[True, True], found[False, False]
+        return max(inner, plain, key=size) or found[False, True]
 
 
 def host_of(url: Column) -> Column:
@@ -166,7 +186,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes, whole = [], []
             for source in part.column("html"):
                 page = Page(source.as_py())
-                own = {(p, _hash(t), True, a) for p, t, a, prose in page.blocks if not prose} | {(p, s, False, False) for p, s in page.sequences}
+                own = {(p, _hash(t), True, a) for p, t, a, prose, _ in page.blocks if not prose} | {(p, s, False, False) for p, s in page.sequences}
                 nodes.append([{"path": p, "what": w, "content": c, "article": a} for p, w, c, a in sorted(own)])
                 whole.append(_hash("\n".join(b[1] for b in page.main())))
             yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(whole, pa.int64()), pa.array(nodes, kind)], ["host", "page", "nodes"])
@@ -237,8 +257,9 @@ def html_extraction(pages: DataFrame, page_id: str = "page_id", url: str = "url"
     The text is the article without menus, headers, footers, sidebars, notices, adverts,
     forms, scripts, styles, markup and comments: blocks joined by two line breaks, white space
     in a block turned into one space, character references decoded. Elements that are
-    boilerplate by their kind or name go first, then the branches that the host's style tree
-    shows to say little. Null html is empty and gives an empty text; so does a page without
+    boilerplate by their kind go first, and within the article those so named; outside it a
+    name only puts a branch behind the others, so an article within it is found. Then go the
+    branches that the host's style tree shows to say little. Null html is empty and gives an empty text; so does a page without
     text. Broken markup is read as far as it goes. A null or relative url belongs to the host
     "". Repeated rows are each returned; further columns are ignored.
 
