@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import random
 import uuid
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -333,6 +335,22 @@ def test_substring_dedup(spark, monkeypatch, crowd):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == kept_words(rows)
 
 
+def test_substring_dedup_deals_out_a_hot_passage(spark, monkeypatch):
+    """A passage with other surroundings in each document: no group of rows holds all of them, and the result is whole."""
+    monkeypatch.setattr(substring_dedup, "ROUTE_SEGMENTS", 20)
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(30)]
+    word = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(i, " ".join(word(25) + passage + word(25))) for i in range(400)]
+    groups, cut = [], substring_dedup._cut(20)
+    batch = pa.RecordBatch.from_pylist([{"doc": i, "tie": 0, "text": t, "wanted": [{"start": 0, "n": 80, "route": 1, "salts": 20}]} for i, t in rows])
+    for out in cut(iter([batch])):
+        groups += zip(out.column("route").to_pylist(), out.column("salt").to_pylist())
+    assert max(Counter(groups).values()) < 60
+    got = substring_dedup.substring_dedup(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == kept_words(rows)
+
+
 def test_substring_dedup_edges(spark):
     rows = [(1, "a " * 30 + "b"), (1, "a " * 30 + "b"), (None, "a " * 30), (2, "c " * 5)]
     got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()), key=str)

@@ -115,7 +115,7 @@ def _met():
 
 
 def _cut(window: int):
-    """The words of each wanted segment; those of a crowded route window by window, each routed by its own words."""
+    """The words of each wanted segment; those of a crowded route window by window, each routed by its own words and dealt over salts by its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,15 +125,15 @@ def _cut(window: int):
                 for doc, tie, text, wanted in zip(part.column("doc").to_pylist(), part.column("tie").to_pylist(), part.column("text"), part.column("wanted").to_pylist()):
                     own = text.as_py().encode().split()
                     for x in wanted:
-                        start, n = x["start"], x["n"]
-                        if not x["crowded"]:
-                            rows.append((x["route"], doc, tie, start, b" ".join(own[start : start + n])))
+                        start, n, salts = x["start"], x["n"], x["salts"]
+                        if not salts:
+                            rows.append((x["route"], 0, doc, tie, start, b" ".join(own[start : start + n])))
                             continue
                         for s in range(start, start + n - window + 1):
                             piece = b" ".join(own[s : s + window])
-                            rows.append((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), doc, tie, s, piece))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["route", "doc", "tie", "start", "words"])
+                            rows.append((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), 1 + hash((doc, tie, s)) % salts, doc, tie, s, piece))
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["route", "salt", "doc", "tie", "start", "words"])
 
     return run
 
@@ -173,7 +173,13 @@ def earlier_windows(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, texts:
     return owner[late], offset[place[late]]
 
 
-def _search(window: int):
+#: What a search gives: spans, and salted windows with no earlier place in their shard, which have words.
+FOUND = "doc long, tie int, start int, end int, route long, words binary"
+
+
+def _search(window: int, last: bool = False):
+    """Spans of windows that stand earlier in their shard. Unless this is the last search, salted windows that do not are given back, to meet those of other salts."""
+
     def shard(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
         doc, tie, start = (table.column(c).to_numpy() for c in ("doc", "tie", "start"))
@@ -185,7 +191,15 @@ def _search(window: int):
         size = np.diff(np.concatenate([head, [len(owner)]])).astype(np.int32) + window - 1
         at = owner[head]
         begin = (start[at] + offset[head]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tie[at]), pa.array(begin), pa.array((begin + size).astype(np.int32))], ["doc", "tie", "start", "end"])
+        # a salted row is one window
+        stay = np.zeros(len(doc), bool) if last else table.column("salt").to_numpy() > 0
+        stay[owner] = False
+        back = np.flatnonzero(stay)
+        columns = [np.concatenate([x, y]) for x, y in ((doc[at], doc[back]), (tie[at], tie[back]), (begin, start[back]), ((begin + size).astype(np.int32), start[back] + np.int32(window)))]
+        none = len(at)
+        route = pa.concat_arrays([pa.nulls(none, pa.int64()), table.column("route").take(pa.array(back)).combine_chunks().cast(pa.int64())])
+        texts = pa.concat_arrays([pa.nulls(none, pa.binary()), table.column("words").take(pa.array(back)).combine_chunks().cast(pa.binary())])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), route, texts], ["doc", "tie", "start", "end", "route", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -194,8 +208,9 @@ def _search(window: int):
             route = batch.column("route").to_numpy()
             lengths = np.diff(np.frombuffer(batch.column("words").cast(pa.large_binary()).buffers()[1], np.int64)[: batch.num_rows + 1]) // 5
             at = 0
-            # a shard may end where the route changes
-            for cut in np.flatnonzero(route[1:] != route[:-1]) + 1:
+            salt = batch.column("salt").to_numpy()
+            # a shard may end where the route or the salt changes
+            for cut in np.flatnonzero((route[1:] != route[:-1]) | (salt[1:] != salt[:-1])) + 1:
                 if size + int(lengths[at:cut].sum()) >= SHARD_WORDS:
                     held.append(batch.slice(at, cut - at))
                     yield shard(held)
@@ -244,7 +259,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
     later places are answered with it. Each shard indexes its segments in a compressed
     FM-index and streams them against it by backward search; the interval of a window gives
     its earliest place. A route with too many different segments is dissolved into windows,
-    routed by all their words, so no task holds an unbounded group.
+    routed by all their words and dealt over salts, whose number grows with the segments. A
+    window with an earlier place under its salt is settled; the one that is left for each
+    salt is searched again among those of the other salts. So a window that k segments hold
+    makes groups of about ROUTE_SEGMENTS rows, then one of k / ROUTE_SEGMENTS.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = own.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
@@ -256,21 +274,25 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
         "segments",
     )
     first = met.where("first")
-    crowded = first.groupBy("route").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > ROUTE_SEGMENTS).select("route", F.lit(True).alias("crowded"))
+    crowded = first.groupBy("route").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > ROUTE_SEGMENTS)
+    crowded = crowded.select("route", F.ceil(F.col("k") / ROUTE_SEGMENTS).cast("int").alias("salts"))
     wanted = (
         first.join(small_side(crowded), "route", "left")
         .groupBy("doc", "tie")
-        .agg(F.collect_list(F.struct("start", "n", "route", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("start", "n", "route", F.coalesce("salts", F.lit(0)).alias("salts"))).alias("wanted"))
     )
     found = stored(
         own.select("doc", "tie", "text")
         .join(wanted, ["doc", "tie"])
-        .mapInArrow(_cut(window), "route long, doc long, tie int, start int, words binary")
-        .repartition("route")
-        .sortWithinPartitions("route")
-        .mapInArrow(_search(window), "doc long, tie int, start int, end int"),
+        .mapInArrow(_cut(window), "route long, salt int, doc long, tie int, start int, words binary")
+        .repartition("route", "salt")
+        .sortWithinPartitions("route", "salt")
+        .mapInArrow(_search(window), FOUND),
         "spans",
     )
+    left = found.where("words IS NOT NULL").select("route", F.lit(0).alias("salt"), "doc", "tie", "start", "words")
+    met_again = left.repartition("route").sortWithinPartitions("route").mapInArrow(_search(window, last=True), FOUND)
+    found = found.where("words IS NULL").unionByName(met_again).select("doc", "tie", "start", "end")
     # a later place of a segment is later in all its windows
     again = met.where("NOT first").select("doc", "tie", "start", (F.col("start") + F.col("n")).alias("end"))
     spans = found.unionByName(again).groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
