@@ -65,7 +65,8 @@ def main() -> int:
 
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
-    spark = local_session()
+    # ROWS_PER_BLOCK cuts even these small tables into many blocks
+    spark = local_session(**({"spark__voxframe__rowsPerBlock": os.environ["ROWS_PER_BLOCK"]} if "ROWS_PER_BLOCK" in os.environ else {}))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     oracles = oracle_sql()

@@ -1,12 +1,9 @@
 """Block operators against plain Python, with blocks far smaller than a series."""
 
-import json
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voxframe.operators import ordered
 
@@ -123,27 +120,6 @@ def test_ema_small_case(spark):
     assert [r.ema for r in ordered.ema(df, ["k"], "idx", "v", 0.3).orderBy("idx").collect()] == pytest.approx([3000, 3000, 4800])
 
 
-def test_blocked_fold_is_sequential(frames, series):
-    """With a fold that never forgets: the running sum modulo 97."""
-
-    def remember(state, rows):
-        total, out = json.loads(state) if state else 0, []
-        for r in rows.itertuples():
-            total = (total + int(r.x * 100)) % 97
-            out.append((r.k, r.idx, total))
-        return pd.DataFrame(out, columns=["k", "idx", "total"]), json.dumps(total)
-
-    schema = T.StructType.fromDDL("k string, idx bigint, total bigint")
-    got = {(r.k, r.idx): r.total for r in ordered.blocked_fold(frames, ["k"], ["ts", "idx"], "block", remember, schema).collect()}
-    assert len(got) == 280
-    for k, rows in by_key(series).items():
-        total = 0
-        for _, i, x in rows:
-            total = (total + int(x * 100)) % 97
-            assert got[(k, i)] == total
-
-
-@pytest.mark.parametrize("alpha", [0.05, 0.3, 0.6, 0.9, 1.0])
 def test_ema_for_every_alpha(spark, alpha):
     values = [float((i * 7919) % 101) for i in range(5000)]
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, idx bigint, v double")

@@ -2,8 +2,8 @@
 
 A step takes the state before (JSON, ``None`` at the start of a key) and the
 ordered rows of one block or micro-batch, and returns output rows and the state
-after.  ``ordered.blocked_fold`` drives them in batch, ``streaming.stateful`` over
-streams.
+after.  ``streaming.stateful`` drives them; ``operators.recursions`` has the same rules for
+batches, and the tests hold one against the other.
 """
 
 from __future__ import annotations

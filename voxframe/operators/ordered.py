@@ -20,13 +20,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxframe.session import durable
-
 ROWS_PER_BLOCK = 250_000
 BLOCK_CONF = "spark.voxframe.rowsPerBlock"
 QUANTILES = 1024
@@ -279,69 +276,3 @@ def ema(df: DataFrame, keys: Sequence[str], idx: str, value: str, alpha: float,
         *df.columns,
         (F.col("_e") + F.coalesce(F.col("_in") * F.pow(F.lit(keep), F.col("_p") + 1), F.lit(0.0))).alias(name),
     )
-
-
-Step = Callable[[str | None, pd.DataFrame], tuple[pd.DataFrame, str]]
-
-
-def blocked_fold(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    block: str,
-    step: Step,
-    output: T.StructType,
-) -> DataFrame:
-    """An order-dependent recursion over every key, block by block.
-
-    ``step(state, rows)`` folds the ordered rows of one block from an entry state
-    (a JSON string, ``None`` at the start of a key) and returns the output rows
-    and the exit state.  Blocks run in parallel from a guessed entry (``None``).
-    A block whose true entry -- the exit of the block before it -- differs from
-    the one it was run with is run again, until no entry changes.  The result is
-    the sequential one; most recursions forget their entry within a block, so few
-    rounds are needed, and input with one block per key needs none.
-    """
-    by = [*keys, block]
-    key_fields = [df.schema[c] for c in by]
-    state = T.StructField("_exit", T.StringType())
-    used = T.StructField("_entry", T.StringType())
-    ordered = list(order)
-    # a stated count keeps AQE from merging small but slow Python partitions
-    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
-
-    def run(entry: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
-        return step(entry, rows.sort_values(ordered, kind="stable").reset_index(drop=True))
-
-    def first_pass(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, leaving = run(None, rows)
-        return pd.DataFrame([[*key, None, leaving]], columns=[*by, "_entry", "_exit"])
-
-    def redo(key: tuple, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        if entries.empty or rows.empty:
-            return pd.DataFrame(columns=[*by, "_entry", "_exit"])
-        entry = entries["_true"].iloc[0]
-        _, leaving = run(entry, rows)
-        return pd.DataFrame([[*key, entry, leaving]], columns=[*by, "_entry", "_exit"])
-
-    def emit(key: tuple, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        entry = entries["_entry"].iloc[0]
-        out, _ = run(None if pd.isna(entry) else entry, rows)
-        return out[[f.name for f in output.fields]]
-
-    passed = T.StructType([*key_fields, used, state])
-    blocks = durable(df.groupBy(*by).applyInPandas(first_pass, passed))
-    in_order = Window.partitionBy(*keys).orderBy(block)
-    while True:
-        entered = blocks.withColumn("_true", F.lag("_exit").over(in_order))
-        stale = entered.filter(~F.col("_true").eqNullSafe(F.col("_entry"))).select(*by, "_true")
-        if stale.isEmpty():
-            break
-        fresh = (
-            df.join(stale.select(*by), by, "left_semi")
-            .groupBy(*by)
-            .cogroup(stale.groupBy(*by))
-            .applyInPandas(redo, passed)
-        )
-        blocks = durable(blocks.join(stale, by, "left_anti").unionByName(fresh))
-    return df.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(emit, output)

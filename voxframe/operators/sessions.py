@@ -6,65 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from voxframe.functions import steps, tables
+from voxframe.functions import tables
 from voxframe.functions.textrules import INTENSITY_FLOOR
-from voxframe.operators.ordered import blocked_fold, ema, fill_forward, neighbours, prefix, with_position
+from voxframe.operators.ordered import ema, fill_forward, neighbours, prefix, with_position
+from voxframe.operators.recursions import cool_down, distinct_regions, emotion_states, session_chunks, utterance_segments
 
-
-def _schema(df: DataFrame, columns: Sequence[str], more: str) -> T.StructType:
-    fields = [df.schema[c] for c in columns]
-    return T.StructType([*fields, *T._parse_datatype_string(more).fields])
-
-
-def emotion_states(readings: DataFrame, keys: Sequence[str], row_id: str, block: str = "block") -> DataFrame:
-    """State after every reading ``(keys, row_id, ts_ms, emotion, confidence)``."""
-    out = _schema(
-        readings, [*keys, row_id], "state_emotion string, state_intensity double, half_life_ms double, current_intensity double"
-    )
-    used = readings.select(*keys, block, row_id, "ts_ms", "emotion", "confidence")
-    return blocked_fold(used, keys, ["ts_ms", row_id], block, steps.emotion_state(list(keys), row_id), out)
-
-
-def cool_down(events: DataFrame, keys: Sequence[str], row_id: str, cooldown_ms: float, block: str = "block") -> DataFrame:
-    out = _schema(events, [*keys, row_id, "ts_ms"], "").fields
-    used = events.select(*keys, block, row_id, "ts_ms")
-    return blocked_fold(
-        used, keys, ["ts_ms", row_id], block, steps.cool_down(list(keys), row_id, cooldown_ms), T.StructType(out)
-    )
-
-
-def session_chunks(events: DataFrame, keys: Sequence[str], order: Sequence[str], row_id: str, block: str = "block") -> DataFrame:
-    """Sentence chunks of delta sessions ``(type, text, enabled)``."""
-    out = _schema(events, [*keys, row_id], "chunk_idx bigint, chunk string")
-    used = events.select(*keys, block, *dict.fromkeys([*order, row_id]), "type", "text", "enabled")
-    return blocked_fold(used, keys, order, block, steps.sentence_chunker(list(keys), row_id), out)
-
-
-def utterance_segments(frames: DataFrame, keys: Sequence[str], block: str = "block", **limits) -> DataFrame:
-    """Utterances of frame series; the last frame of a series flushes."""
-    last = frames.groupBy(*keys).agg(F.max("frame_idx").alias("_last"))
-    used = frames.join(last, list(keys)).select(
-        *keys, block, "frame_idx", "value", (F.col("frame_idx") == F.col("_last")).alias("flush")
-    )
-    out = _schema(frames, keys, "start_idx bigint, n_frames bigint, speech_frames bigint")
-    return blocked_fold(used, keys, ["frame_idx"], block, steps.utterances(list(keys), **limits), out)
-
-
-def distinct_regions(
-    samples: DataFrame, keys: Sequence[str], row_id: str, features: Sequence[str], apart: float = 0.25, block: str = "block"
-) -> DataFrame:
-    """Greedy centres of normalised samples, in row order.
-
-    In normalised space the number of centres is bounded by how many points fit
-    ``apart`` from each other, so the carried state stays small.
-    """
-    out = T.StructType([samples.schema[c] for c in [*keys, row_id]])
-    used = samples.select(*keys, block, row_id, *features)
-    return blocked_fold(
-        used, keys, [row_id], block, steps.distinct_regions(list(keys), row_id, list(features), apart), out
-    )
+__all__ = ["cool_down", "distinct_regions", "emotion_states", "session_chunks", "utterance_segments"]
 
 
 def filler_plan(

@@ -506,7 +506,21 @@ def tempo_outliers(spark, sf):
     return out.select("pair_id", "ref_idx", "tempo", *[rnd(F.col(c), 6).alias(c) for c in ("ref_duration_s", "syn_duration_s", "ratio")])
 
 
-@query("distinct_regions")
+_norm = lambda c: f"CASE WHEN max({c}) OVER w - min({c}) OVER w > 1e-6 THEN ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE 0.5 END"
+_REGIONS = with_sql(
+    {
+        "t": "SELECT l_partkey, p_brand AS sweep, avg(l_quantity)::DOUBLE AS a, avg(l_discount)::DOUBLE AS b, avg(l_tax)::DOUBLE AS c, avg(l_extendedprice)::DOUBLE AS d FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL",
+        "n": f"SELECT l_partkey, sweep, [{', '.join(map(_norm, 'abcd'))}] AS p, row_number() OVER (PARTITION BY sweep ORDER BY l_partkey) AS rn FROM t WINDOW w AS (PARTITION BY sweep)",
+        # every row of a sweep in turn, with the centres so far
+        "g": "SELECT sweep, rn, l_partkey, [p] AS centres, true AS centre FROM n WHERE rn = 1 UNION ALL "
+        "SELECT sweep, rn, l_partkey, CASE WHEN far THEN list_append(centres, p) ELSE centres END, far FROM (SELECT n.sweep, n.rn, n.l_partkey, n.p, g.centres, "
+        "list_min(list_transform(g.centres, lambda q: list_distance(q, n.p))) > 0.25 AS far FROM g JOIN n ON n.sweep = g.sweep AND n.rn = g.rn + 1)",
+    },
+    "SELECT sweep, l_partkey FROM g WHERE centre",
+)
+
+
+@query("distinct_regions", _REGIONS)
 def distinct_regions(spark, sf):
     """Greedy region centres per brand over four normalised features."""
     trials = (
@@ -518,5 +532,4 @@ def distinct_regions(spark, sf):
         .join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("sweep")), "l_partkey")
     )
     features = ["a", "b", "c", "d"]
-    blocked = with_block(signal.min_max_normalise(trials, features, ["sweep"]), "l_partkey")
-    return sessions.distinct_regions(blocked, ["sweep"], "l_partkey", features)
+    return sessions.distinct_regions(signal.min_max_normalise(trials, features, ["sweep"]), ["sweep"], "l_partkey", features)

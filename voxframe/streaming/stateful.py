@@ -41,7 +41,7 @@ class StepProcessor(StatefulProcessor):
 
 
 def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step, output: T.StructType) -> DataFrame:
-    """The streaming side of ``ordered.blocked_fold``."""
+    """Fold every key of a stream through a step; the batch twins are in ``operators.recursions``."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     processor = StepProcessor(step, order, [f.name for f in output.fields])
     return df.groupBy(*keys).transformWithStateInPandas(
@@ -50,7 +50,7 @@ def stream_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step,
 
 
 def _fields(df: DataFrame, columns: Sequence[str], more: str) -> T.StructType:
-    return sessions._schema(df, columns, more)
+    return T.StructType([*(df.schema[c] for c in columns), *T._parse_datatype_string(more).fields])
 
 
 def sentence_chunks(events: DataFrame, keys: Sequence[str], order: Sequence[str], row_id: str) -> DataFrame:
