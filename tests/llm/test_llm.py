@@ -3,7 +3,10 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
+import subprocess
+import sys
 import uuid
 from collections import Counter
 
@@ -42,7 +45,7 @@ EDGE = [
 
 def frame(spark, rows, schema="doc_id long, text string"):
     """The rows with columns whose names the operators use inside."""
-    extra = "run digest bands features route words spans score ids id key bucket tie doc html cut item token pos".split()
+    extra = "run digest bands features route words spans score ids id key bucket tie doc html cut item token pos predicted stay_id stay_digest row_digest gone_id gone_hash copies span block base host".split()
     own = spark.createDataFrame(rows, schema)
     return own.withColumns({c: F.lit(i) for i, c in enumerate(extra) if c not in own.columns})
 
@@ -221,7 +224,7 @@ def test_merge_replay_takes_the_leftmost_lowest_rank():
 
 
 def test_toxicity_learns_and_leaves_held_out_rows(spark):
-    docs, labels = read_table(spark, "/root/testdata/check_h", "documents"), read_table(spark, "/root/testdata/check_h", "labels")
+    docs, labels = (read_table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out")
     right = got.where("predicted = toxic").count() / got.count()
     assert right > 0.97
@@ -546,3 +549,37 @@ def test_pipeline_edges(spark):
         got = stage(spark, docs, SF)
         n = got.count()
         assert n == {"exact_dedup": 8, "ngram_jaccard_join": 9}.get(name, len(EDGE)), (name, n)
+
+
+def test_operators_run_where_workers_have_no_copy_of_the_package(tmp_path):
+    """A driver that finds the package by sys.path alone, in a folder of its own."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+import public_tokenizers
+from voxframe.session import local_session
+from voxframe.llm import byte_bpe, chat_format, merkle, spelling, token_counts
+spark = local_session(cores="2", shuffle_partitions=2, spark__checkpoint__dir={str(tmp_path / "shared")!r})
+docs = spark.createDataFrame([(1, "wording wordings wording wordings " * 9, "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+def probe(batches):
+    for b in batches:
+        import importlib.util
+        b = b.to_pandas()
+        b["found"] = importlib.util.find_spec("voxframe") is not None
+        yield b[["found"]]
+assert not docs.mapInPandas(probe, "found boolean").first().found
+path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+coded = byte_bpe.byte_bpe(docs, path, pattern)
+assert bytes(byte_bpe.decode(coded, path).first().decoded).decode().startswith("wording")
+assert token_counts.token_counts(docs, path, pattern).count()
+assert merkle.merkle_manifest(docs).first().verified
+assert spelling.spelling_variants(docs).count() == 2
+talk = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+assert chat_format.read_back(chat_format.chat_format(talk)).first().n_turns == 1
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    env["PYTHONPATH"] = os.path.dirname(os.path.dirname(public_tokenizers.__file__)) if public_tokenizers.__file__ else ""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-3000:]

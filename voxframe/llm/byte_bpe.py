@@ -153,9 +153,14 @@ def replay(data: np.ndarray, offsets: np.ndarray, merges: Merges) -> tuple[np.nd
     return token[alive], np.concatenate([[0], np.cumsum(counts)])
 
 
+def _shared(docs: DataFrame, path: str):
+    """The rank table as plain arrays: a broadcast is read by executors that may have no copy of this package."""
+    return docs.sparkSession.sparkContext.broadcast(vars(read_merges(path)))
+
+
 def _codes(merges, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: Merges = merges.value
+        table = Merges(**merges.value)
         split = regex.compile(pattern)
         for batch in batches:
             texts = batch.column("text")
@@ -206,18 +211,17 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     on the corpus). A task replays the merges over the distinct pieces of about 8 MB of text
     at a time, so memory is bounded, nothing is shuffled and a lost task is simply run again.
     """
-    merges = docs.sparkSession.sparkContext.broadcast(read_merges(path))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
-        _codes(merges, pattern), "doc_id long, ids binary, decoded binary"
+        _codes(_shared(docs, path), pattern), "doc_id long, ids binary, decoded binary"
     )
 
 
 def decode(tokens: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, decoded): the bytes of little-endian unsigned 32-bit ids; null gives none."""
-    merges = tokens.sparkSession.sparkContext.broadcast(read_merges(path))
+    merges = _shared(tokens, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: Merges = merges.value
+        table = Merges(**merges.value)
         for batch in batches:
             own = [np.frombuffer(x.as_py() or b"", "<u4") for x in batch.column("ids")]
             out = [table.data[ranges(table.start[x], table.size[x])].tobytes() for x in own]
