@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +20,27 @@ from voxframe.llm.toxicity import fit, score
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def filters(stage: Stage) -> Stage:
+    """A stage that keeps rows: it sees all columns but doc_id and text under names that it does not use itself."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apart = [c if c in ("doc_id", "text") else f"input_column_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*apart), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@filters
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not called toxic, in one scan. Empty and null texts stay."""
     return score(docs, fit(docs, read_table(spark, sf_dir, "labels")), docs.columns).where("predicted = 0").select(docs.columns)
 
 
+@filters
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the largest id of each group of equal texts; of rows that repeat id and text, one."""
     stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("stay_id"), F.unhex("text_sha256").alias("stay_digest")).distinct()
@@ -32,12 +51,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.dropDuplicates(["doc_id", "row_digest"]).select(docs.columns)
 
 
+@filters
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies. Rows without an id stay."""
     gone = ngram_jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+@filters
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not hold benchmark passages in a twentieth of their words or more."""
     gone = decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
