@@ -12,14 +12,44 @@ from pyspark.sql import types as T
 
 from voxframe.functions import kernels
 from voxframe.functions.scalar import clamp
+from voxframe.operators.ordered import ROWS_PER_BLOCK, with_position
+from voxframe.operators.wavefront import TILE, warp_tiled
 
 
-def warp(ref: DataFrame, syn: DataFrame, keys: Sequence[str], idx: str = "frame_idx", value: str = "value") -> DataFrame:
+def warp(ref: DataFrame, syn: DataFrame, keys: Sequence[str], idx: str = "frame_idx", value: str = "value", tile: int = TILE) -> DataFrame:
     """Alignment path of every pair, with the paired values.
 
-    Whole series are aligned. A pair's alignment is one sequential dynamic program, so a pair
-    is one task; its memory grows with the root of the longer side (see ``kernels.warp_path``).
+    Whole series are aligned, in the order of ``idx``; rows of null keys have no partner. A
+    pair whose sides both fit into one tile is one task. A longer pair is cut into tiles of its
+    cost matrix (``wavefront``), which many tasks share; the path is the same.
     """
+    ref, syn = (_side(df, keys, idx, value) for df in (ref, syn))
+    long, diagonals = _long_pairs(ref, syn, keys, tile)
+    if not diagonals:
+        return _warp_whole(ref, syn, keys)
+    short = _warp_whole(ref.join(long, list(keys), "left_anti"), syn.join(long, list(keys), "left_anti"), keys)
+    tiled = warp_tiled(ref.join(long, list(keys), "left_semi"), syn.join(long, list(keys), "left_semi"), keys, diagonals, tile)
+    return short.unionByName(tiled)
+
+
+def _side(df: DataFrame, keys: Sequence[str], idx: str, value: str) -> DataFrame:
+    """(keys, _i, _x), _i the place of a row in its series."""
+    # new column identities, as both sides often come from one table
+    named = [F.col(k).alias(k) for k in keys]
+    cut = df.select(*named, F.col(idx).alias("_at"), F.col(value).cast("double").alias("_x")).dropna(subset=list(keys))
+    placed = with_position(cut.withColumn("_block", F.floor(F.col("_at") / ROWS_PER_BLOCK)), keys, ["_at"], "_block", "_i")
+    return placed.select(*keys, "_i", "_x")
+
+
+def _long_pairs(ref: DataFrame, syn: DataFrame, keys: Sequence[str], tile: int) -> tuple[DataFrame, int]:
+    """Keys of the pairs with a side longer than a tile, and the most tile diagonals that one has."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    sizes = count(ref, "_n").join(count(syn, "_m"), list(keys)).where(F.greatest("_n", "_m") > tile)
+    most = sizes.agg(F.max(F.ceil(F.col("_n") / tile) + F.ceil(F.col("_m") / tile) - 1)).first()[0]
+    return sizes.select(*keys), int(most or 0)
+
+
+def _warp_whole(ref: DataFrame, syn: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = T.StructType(
         [
             *[ref.schema[k] for k in keys],
@@ -42,14 +72,10 @@ def warp(ref: DataFrame, syn: DataFrame, keys: Sequence[str], idx: str = "frame_
         cells = [*cols, np.arange(len(path)), path[:, 0], path[:, 1], a[path[:, 0]], b[path[:, 1]]]
         return pd.DataFrame(dict(zip(names, cells)))
 
-    def side(df: DataFrame) -> DataFrame:
-        # new column identities, as both sides often come from one table
-        named = [F.col(k).alias(k) for k in keys]
-        cut = df.select(*named, F.col(idx).alias("_i"), F.col(value).alias("_x"))
-        # a stated count keeps AQE from merging small but slow Python partitions
-        return cut.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-    return side(ref).groupBy(*keys).cogroup(side(syn).groupBy(*keys)).applyInPandas(align, out)
+    # a stated count keeps AQE from merging small but slow Python partitions
+    parts = int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ref, syn = (df.repartition(parts, *keys) for df in (ref, syn))
+    return ref.groupBy(*keys).cogroup(syn.groupBy(*keys)).applyInPandas(align, out)
 
 
 def contour_correlation(path: DataFrame, keys: Sequence[str]) -> DataFrame:

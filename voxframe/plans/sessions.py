@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.functions import tables
-from voxframe.functions import textrules as tr
 from voxframe.functions.scalar import rnd
 from voxframe.functions.verdicts import is_cache_hit, is_warm
 from voxframe.operators import alignment, compare, ordered, sessions, signal
 from voxframe.operators import text as text_ops
 from voxframe.operators.ordered import with_block, with_position
 from voxframe.plans.dialogue import EMOTIONS, MESSAGE, MESSAGES, _LOG, messages
-from voxframe.plans.frames import FRAME_S, FRAMES, SILENT, frames, segments
+from voxframe.plans.frames import FRAME_S, FRAMES, SEGMENTS, frames, segments
 from voxframe.plans.registry import query, rnd_sql as r, table, with_sql
 from voxframe.streaming import stateful
 
@@ -466,13 +465,45 @@ def stream_job_status(spark, sf):
 # ---- warped alignment and regions
 
 
+def _warp_sql(series: str) -> dict[str, str]:
+    """Alignment of pairs of a relation (pair_id, side, idx, x): `way` has its cells, with k from the end."""
+    row = "list_reduce(list_prepend([]::DOUBLE[], list_transform(range(1, len(b) + 1), lambda j: [j::DOUBLE])), lambda done, j: list_append(done, {cell}))"
+    at = "abs(a[i] - b[CAST(j[1] AS INT)])"
+    first = row.format(cell="abs(a[1] - b[CAST(j[1] AS INT)]) + CASE WHEN len(done) = 0 THEN 0 ELSE done[len(done)] END")
+    best = "least(coalesce(prev[len(done)], 'infinity'::DOUBLE), prev[len(done) + 1], CASE WHEN len(done) = 0 THEN 'infinity'::DOUBLE ELSE done[len(done)] END)"
+    inner = row.format(cell=f"{at} + {best}")
+    return {
+        "two": f"SELECT pair_id, list(x ORDER BY idx) FILTER (side = 0) AS a, list(x ORDER BY idx) FILTER (side = 1) AS b FROM {series} GROUP BY pair_id HAVING count(*) FILTER (side = 0) > 0 AND count(*) FILTER (side = 1) > 0",
+        "cost": f"SELECT pair_id, 1::BIGINT AS i, {first} AS d FROM two UNION ALL "
+        f"SELECT pair_id, i, {inner} FROM (SELECT c.pair_id, c.i + 1 AS i, c.d AS prev, s.a, s.b FROM cost c JOIN two s USING (pair_id) WHERE c.i < len(s.a))",
+        "way": "SELECT pair_id, len(a)::BIGINT AS i, len(b)::BIGINT AS j, 0::BIGINT AS k FROM two UNION ALL "
+        "SELECT pair_id, CASE WHEN step < 2 THEN i - 1 ELSE i END, CASE WHEN step <> 1 THEN j - 1 ELSE j END, k + 1 FROM ("
+        "SELECT *, CASE WHEN diag <= up AND diag <= side THEN 0 WHEN up <= side THEN 1 ELSE 2 END AS step FROM (SELECT w.pair_id, w.i, w.j, w.k, "
+        "CASE WHEN w.i > 1 AND w.j > 1 THEN p.d[w.j - 1] ELSE 'infinity'::DOUBLE END AS diag, CASE WHEN w.i > 1 THEN p.d[w.j] ELSE 'infinity'::DOUBLE END AS up, "
+        "CASE WHEN w.j > 1 THEN c.d[w.j - 1] ELSE 'infinity'::DOUBLE END AS side "
+        "FROM way w JOIN cost c ON c.pair_id = w.pair_id AND c.i = w.i LEFT JOIN cost p ON p.pair_id = w.pair_id AND p.i = w.i - 1 WHERE w.i > 1 OR w.j > 1))",
+    }
+
+
 def _contours(spark, sf):
     fr = frames(spark, sf).withColumn("pair_id", F.floor(F.col("series_id") / 2))
     side = lambda s: fr.filter(F.col("series_id") % 2 == s).select("pair_id", "frame_idx", "value")
     return side(0), side(1)
 
 
-@query("contour_correlation")
+_CORRELATION = with_sql(
+    {
+        **FRAMES,
+        "x": "SELECT series_id // 2 AS pair_id, series_id % 2 AS side, frame_idx AS idx, value AS x FROM frames",
+        **_warp_sql("x"),
+        "cells": "SELECT w.pair_id, s.a[w.i] AS u, s.b[w.j] AS v FROM way w JOIN two s USING (pair_id)",
+        "st": "SELECT pair_id, count(*) AS n, covar_pop(u, v) AS c, sqrt(var_pop(u) * var_pop(v)) AS sd FROM cells GROUP BY pair_id",
+    },
+    f"SELECT pair_id, n, {r('CASE WHEN n < 2 OR sd * n < 1e-12 THEN 0 ELSE greatest(-1, least(1, c / sd)) END', 6)} AS correlation FROM st",
+)
+
+
+@query("contour_correlation", _CORRELATION)
 def contour_correlation(spark, sf):
     path = alignment.warp(*_contours(spark, sf), ["pair_id"])
     out = alignment.contour_correlation(path, ["pair_id"])
@@ -493,13 +524,40 @@ def _tempo(spark, sf):
     return compare.tempo_matches(named), totals
 
 
-@query("tempo_summary")
+_TEMPO = {
+    **SEGMENTS,
+    "sg": f"SELECT series_id // 2 AS pair_id, series_id % 2 AS side, kind, row_number() OVER (PARTITION BY series_id ORDER BY start_idx) - 1 AS idx, "
+    f"(start_idx + n_frames) * {FRAME_S}::DOUBLE - start_idx * {FRAME_S}::DOUBLE AS x FROM segments",
+    **_warp_sql("sg"),
+    # the first match of each reference segment
+    "mt": "SELECT w.pair_id, w.i - 1 AS ref_idx, first(s.a[w.i]) AS rd, first(s.b[w.j] ORDER BY w.k DESC) AS sd FROM way w JOIN two s USING (pair_id) GROUP BY w.pair_id, w.i",
+    "rt": "SELECT mt.*, g.kind, CASE WHEN rd > 0.01 THEN sd / rd ELSE 1 END AS ratio FROM mt JOIN sg g ON g.pair_id = mt.pair_id AND g.side = 0 AND g.idx = mt.ref_idx",
+}
+
+
+@query(
+    "tempo_summary",
+    with_sql(
+        {
+            **_TEMPO,
+            "ct": "SELECT pair_id, count(*) FILTER (kind = 'voiced' AND ratio < 0.7) AS rushed, count(*) FILTER (kind = 'voiced' AND ratio > 1.4) AS drawn_out FROM rt GROUP BY pair_id",
+            "tt": "SELECT pair_id, sum(x) FILTER (side = 0) AS ref_s, sum(x) FILTER (side = 1) AS syn_s FROM sg GROUP BY pair_id",
+        },
+        f"SELECT pair_id, {r('CASE WHEN ref_s > 0 THEN syn_s / ref_s ELSE 1 END', 6)} AS overall_ratio, rushed, drawn_out FROM ct JOIN tt USING (pair_id)",
+    ),
+)
 def tempo_summary(spark, sf):
     out = compare.tempo_summary(*_tempo(spark, sf))
     return out.withColumn("overall_ratio", rnd(F.col("overall_ratio"), 6))
 
 
-@query("tempo_outliers")
+@query(
+    "tempo_outliers",
+    with_sql(
+        _TEMPO,
+        f"SELECT pair_id, ref_idx, CASE WHEN ratio < 0.7 THEN 'rushed' ELSE 'drawn out' END AS tempo, {r('rd', 6)} AS ref_duration_s, {r('sd', 6)} AS syn_duration_s, {r('ratio', 6)} AS ratio FROM rt WHERE kind = 'voiced' AND (ratio < 0.7 OR ratio > 1.4)",
+    ),
+)
 def tempo_outliers(spark, sf):
     """The rushed and drawn-out segments themselves."""
     out = compare.tempo_outliers(_tempo(spark, sf)[0])

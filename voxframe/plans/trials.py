@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import tables, verdicts
 from voxframe.functions.scalar import rnd
-from voxframe.operators import compare, signal
+from voxframe.operators import compare, signal, similarity
 from voxframe.operators.ordered import with_block, with_position
 from voxframe.plans.frames import SEGMENTS, segments
 from voxframe.plans.registry import query, rnd_sql as r, table, with_sql
@@ -463,6 +463,23 @@ def vector_pairs(spark, sf):
     )
 
 
+@query(
+    "similar_vectors",
+    with_sql(
+        {
+            "e": "SELECT vec_id, [x::DOUBLE for x in embedding] AS v FROM embeddings",
+            "p": "SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id",
+            "l": "SELECT vec_id, count(*) AS n_links, first(other ORDER BY s DESC, other) AS best_id, max(s) AS s FROM p WHERE s >= 0.8 GROUP BY vec_id",
+        },
+        f"SELECT vec_id, coalesce(n_links, 0) AS n_links, best_id, {r('s', 6)} AS similarity FROM e LEFT JOIN l USING (vec_id) WHERE vec_id % 20 = 0",
+    ),
+)
+def similar_vectors(spark, sf):
+    """Every twentieth vector against all others, by hyperplane bands."""
+    out = similarity.similar_vectors(_vectors(spark, sf), "vec_id", "v", F.col("vec_id") % 20 == 0)
+    return out.withColumn("similarity", rnd(F.col("similarity"), 6))
+
+
 _FRAMES = {
     "f": "SELECT vec_id // 14 // 2 AS pair_id, vec_id // 14 % 2 AS side, vec_id % 14 AS frame_idx, [x::DOUBLE for x in embedding] AS v FROM embeddings",
     "j": "SELECT a.pair_id, a.frame_idx, a.v AS x, b.v AS y FROM f a JOIN f b ON a.pair_id = b.pair_id AND a.frame_idx = b.frame_idx AND a.side = 0 AND b.side = 1",

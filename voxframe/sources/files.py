@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions import tables
 from voxframe.functions.textrules import strip
 from voxframe.operators.compare import default_on_empty, literal_rows
+from voxframe.operators.recursions import kept
 
 TIMELINE = (
     "_source string, _model string, total_duration_s double, "
@@ -66,6 +67,29 @@ RECEIPT = (
 )
 
 
+def line_order() -> Column:
+    """Where a row of a text or CSV scan stands: its file, the split's place in the file, the row's place in the split.
+
+    Rows of one split are read in order by one task, so its row counter rises along them; the
+    numbers of tasks and the order of splits among them have no part in it. To be selected
+    right at the scan.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): lines of text files, counted from zero in each file.
+
+    Two passes: lines of each split are counted, then numbered on from the splits before it in
+    the file. No file is held or sorted as a whole.
+    """
+    lines = kept(spark.read.text(path).select(line_order().alias("_at"), "value").select("_at.*", "value"), "lines")
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("_first"))
+    splits = splits.select("file", "start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return lines.join(splits, ["file", "start"]).select("file", (F.col("_before") + F.col("row") - F.col("_first")).alias("line_no"), "value")
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
 
@@ -79,13 +103,9 @@ def parse_transcripts(lines: DataFrame, line: str = "value", order: str = "line_
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript manifests; within a file later lines win.
-
-    A manifest is one text value split in place, so line numbers need no sort.
-    """
-    whole = spark.read.option("wholetext", True).text(path)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return parse_transcripts(lines)
+    """Transcript manifests; later lines win, of several files those of the last by path."""
+    lines = numbered_lines(spark, path)
+    return parse_transcripts(lines.select(F.struct("file", "line_no").alias("line_no"), "value"))
 
 
 def read_timeline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -164,12 +184,15 @@ def stress_pairs(forms: DataFrame, order: str = "line_no", mark: str = "'") -> D
 
 
 def read_stress(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Stress dictionaries in load order, as tab-separated files with a header."""
+    """Stress dictionaries in load order, as tab-separated files with a header; the first insert of a word wins.
+
+    The order of inserts is that of the paths given, then of a path's files by name, then of
+    lines, however the files are split.
+    """
     out = None
     for load, path in enumerate(paths):
         rows = spark.read.option("sep", "\t").option("header", True).csv(path)
-        # position inside a file: rows of one split keep their order
-        placed = rows.withColumn("line_no", F.lit(load).cast("bigint") * (1 << 48) + F.monotonically_increasing_id() % (1 << 48))
+        placed = rows.select("*", line_order().alias("line_no"))
         pairs = stress_pairs(placed).withColumn("load", F.lit(load))
         out = pairs if out is None else out.unionByName(pairs)
     return out.groupBy("bare").agg(F.min_by("accented", "load").alias("accented"))
