@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from voxframe.functions.steps import sentence_chunker
 from voxframe.operators import ordered, sessions
 from voxframe.session import shared_dir
-from voxframe.streaming import stateful
+from voxframe.streaming import followed, keyed, spend, stateful
 
 
 def batches(spark, df, order, parts, name):
@@ -161,3 +161,77 @@ def test_receipt_cases(spark):
     assert hit.gpu_sec == hit.cost_usd == 0.0
     empty = sessions.ledger_summary(sessions.receipts(df.limit(0))).first()
     assert empty.status == "none" and empty.hit_pct is None and empty.cost_usd == 0.0
+
+
+def test_delivery_status_and_order(spark):
+    schema = "k string, idx bigint, payload string, arrived bigint, total bigint"
+    rows = [("s", 2, "c", 0, None), ("s", 0, "a", 1, None), ("t", 0, "x", 2, None), ("s", None, None, None, 3), ("s", 1, "b", 5, None), ("s", 0, "again", 6, None), ("u", None, None, None, 0), ("u", 4, "w", 9, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema + ", i bigint")
+    for parts in (1, 3, 8):
+        out = stateful.run_available(keyed.delivery(batches(spark, df, "i", parts, "status").drop("i"), ["k"])).collect()
+        chunks = sorted((r.k, r.idx, r.payload, r.released_by) for r in out if r.kind == "chunk")
+        assert chunks == [("s", 0, "a", 1), ("s", 1, "b", 5), ("s", 2, "c", 5), ("t", 0, "x", 2)]
+        last = {k: max((r for r in out if r.k == k and r.kind != "chunk"), key=lambda r: (r.received, r.total is not None, r.idx)) for k in "stu"}
+        assert [(last[k].kind, last[k].idx) for k in "stu"] == [("done", 3), ("filling", 1), ("done", 0)]
+
+
+def test_fence_in_event_time(spark):
+    rng = random.Random(4)
+    rows, open_, want = [], [], []
+    resets = {k: [] for k in "ab"}
+    for i in range(160):
+        k, at = rng.choice("ab"), 1_000.0 * i
+        if rng.random() < 0.15:
+            rows.append((k, "reset", -i, at))
+            resets[k].append(at)
+        else:
+            done = at + rng.choice([0.0, 500.0, 4_000.0, 30_000.0])
+            rows += [(k, "request", i, at), (k, "result", i, done)]
+            open_.append((k, i, at, done))
+    for k, i, at, done in open_:
+        if not any(at < x <= done for x in resets[k]):
+            want.append((k, i, sum(x <= at for x in resets[k])))
+    rows.append(("z", "reset", -1, 9e8))
+    rows = [r for _, r in sorted((r[3] + rng.choice([0, 5_000]) * (r[0] != "z"), r) for r in rows)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "k string, type string, request long, at double, n long").withColumn("ts", F.timestamp_micros((F.col("at") * 1000).cast("bigint")))
+    stream = batches(spark, df, "n", 5, "fence").withWatermark("ts", "20 seconds")
+    got = stateful.run_available(keyed.fence(stream, ["k"], 60_000.0))
+    assert sorted((r.k, r.request, r.generation) for r in got.collect()) == sorted(want) and len(want) > 60
+
+
+def test_late_rows_are_kept_apart_once(spark):
+    rows = [(i, f"2024-01-01 {h}:00:00", 2.0, i % 2 == 0, 0.5, 10.0 * i) for i, h in enumerate(["10", "11", "12", "09", "11", "14", "12"])]
+    df = spark.createDataFrame(rows, "i long, t string, audio_duration_sec double, cache_hit boolean, cost_usd double, rtt_ms double").withColumn("ts", F.to_timestamp("t"))
+    own = spend.RunningSpend(spark, df.schema, "2 HOURS")
+    own.run(batches(spark, df, "i", 3, "spend"))  # 0-1, 2-3, 4-6
+    assert sorted(r.i for r in own.late_rows().collect()) == []
+    own = spend.RunningSpend(spark, df.schema, "30 MINUTES").run(batches(spark, df, "i", 3, "spend"))
+    for _ in range(2):  # a batch that is run again changes nothing
+        assert sorted(r.i for r in own.late_rows().collect()) == [3, 4]
+        total = own.totals().first()
+        assert (total.calls, total.hits, total.cost_usd, total.mean_rtt_ms, total.max_rtt_ms) == (5, 3, 2.5, 28.0, 60.0)
+        own.write(df.where("i >= 4"), 2)
+    assert own.history().count() == 3
+    nothing = spend.RunningSpend(spark, df.schema, "1 HOUR")
+    assert nothing.totals().first().calls == 0 and nothing.late_rows().count() == 0
+
+
+def test_followed_log_keeps_the_order_of_lines(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    line = lambda step: f"{step}/20000 [00:01, loss=0.{step}, accuracy=0.5]"
+    log = followed.FollowedLog(spark, F.regexp_extract("file", "([a-z]+)[0-9]*[.]log", 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        (folder / "a1.log").write_text("\n".join([*map(line, range(100, 900)), "   ", "CUDA out of memory"]))
+        (folder / "b1.log").write_text("\n".join(map(line, [7, 9, 8])))
+        log.run(followed.stream_lines(spark, str(folder)))
+        first = {r.job: r for r in log.status().collect()}
+        assert (first["a"].step, first["a"].state, first["a"].lines, first["b"].step) == (899, "failed", 802, 8)
+        (folder / "a2.log").write_text("\n".join([line(50), "[train] DONE"]))
+        log.run(followed.stream_lines(spark, str(folder)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    last = {r.job: r for r in log.status().collect()}
+    assert (last["a"].step, last["a"].state, last["a"].lines, last["b"].step) == (50, "failed", 804, 8)
+    assert log.events().where("event = 'oom'").count() == 1

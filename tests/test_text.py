@@ -1,9 +1,11 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from voxframe.functions import textrules as tr
+from voxframe.functions.edits import distance, word_edits
 from voxframe.operators import text as ops
 
 
@@ -111,7 +113,7 @@ def edit_distance(a, b):
     [("a b c d", "a x c d", 1), ("Подойди-ка, надо.", "подойди ка надо", 0), ("a b c", "", 3), ("", "x", 1), ("b a", "a b", 2)],
 )
 def test_word_edits(one, a, b, want):
-    assert one(lambda x, y: tr.word_edits(tr.wer_tokens(x), tr.wer_tokens(y)), a, b) == want
+    assert one(lambda x, y: word_edits(tr.wer_tokens(x), tr.wer_tokens(y)), a, b) == want
 
 
 def test_turn_wer_brute_force(spark):
@@ -201,7 +203,7 @@ def test_placement(one):
 
 
 def test_augmentation_is_seeded_and_keeps_text(spark):
-    pools = {"prefix": [("Well", 1.0)], "mid": [("hm", 1.0)], "suffix": [(", eh", 1.0)]}
+    pools = spark.createDataFrame([("prefix", "Well", 1.0), ("mid", "hm", 1.0), ("suffix", ", eh", 1.0)], "slot string, term string, weight double")
     rows = [(i, f"Line {i} goes on, and on. Then it ends?") for i in range(40)]
     df = spark.createDataFrame(rows, "id int, text string")
     run = lambda seed, p=1.0: {r.id: r.augmented for r in ops.augment_sentences(df, pools, p, "id", seed).collect()}
@@ -213,6 +215,23 @@ def test_augmentation_is_seeded_and_keeps_text(spark):
         assert plain == text
 
 
+def test_picks_follow_the_weights(spark):
+    """Every draw gets the term whose running weight first reaches it, in pools of any size."""
+    rng = random.Random(8)
+    rows = [("big", f"t{i}", rng.choice([0.001, 0.5, 3.0, 0.0])) for i in range(900)] + [("one", "only", 0.2), ("none", "never", 0.0)]
+    intervals = ops.pool_intervals(spark.createDataFrame(rows, "slot string, term string, weight double"))
+    own = sorted((r.upto, r.share, r.term) for r in intervals.where("slot = 'big'").collect())
+    total = own[-1][0]
+    assert total == sum(round(w * 1e9) for s, _, w in rows if s == "big") and all(b[0] - b[1] == a[0] for a, b in zip(own, own[1:]))
+    us = [0.0, *(rng.random() for _ in range(2000)), 1.0 - 2.0**-32]
+    draws = spark.createDataFrame([(s, u) for s in ("big", "one", "none", None) for u in us], "slot string, u double")
+    got = ops.weighted_pick(draws, intervals, "term").collect()
+    assert len(got) == 4 * len(us)
+    for r in got:
+        want = next(t for upto, _, t in own if r.u * total <= upto) if r.slot == "big" else "only" if r.slot == "one" else None
+        assert r.term == want
+
+
 def test_persona_and_arc(spark):
     df = spark.createDataFrame([("sidorovich", 1.0, 1.0, 1.0), ("other", 0.2, 0.3, 0.4)], "persona string, arousal double, dominance double, valence double")
     got = {r.persona: (r.arousal, r.dominance, r.valence) for r in ops.persona_reaction(df).collect()}
@@ -225,3 +244,17 @@ def test_joins_with_transcripts(spark):
     assert [r.clip for r in ops.label_clips(clips, texts).collect()] == ["a.wav"]
     assert {r.clip for r in ops.unlabelled_clips(clips, texts).collect()} == {"orphan.wav", "blank.wav"}
     assert ops.label_clips(clips, texts.limit(0)).count() == 0
+
+
+def test_word_distance_for_stretches_of_any_size():
+    rng = random.Random(1)
+    for _ in range(3000):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(14))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert {distance(a, b, bits) for bits in (1, 3, 4096)} == {row[-1]}
+    long = [str(rng.randrange(3000)) for _ in range(20_000)]
+    assert distance(long, [w for i, w in enumerate(long) if i % 4000]) == 5

@@ -466,21 +466,6 @@ def wer_tokens(text: Column) -> Column:
     return words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", " "))
 
 
-def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of two word arrays on the JVM.
-
-    Each distinct word of the pair becomes one supplementary-plane character, so
-    the built-in ``levenshtein`` counts word edits (up to a million words a pair).
-    The pair's vocabulary is built once.
-    """
-
-    def spelled(tokens: Column, vocabulary: Column) -> Column:
-        codes = F.transform(tokens, lambda w: F.lpad(F.hex(F.array_position(vocabulary, w) + 0x10000), 8, "0"))
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
-
-    return let(F.array_distinct(F.concat(reference, hypothesis)), lambda v: F.levenshtein(spelled(reference, v), spelled(hypothesis, v)))
-
-
 def log_event(line: Column) -> Column:
     """struct<event, fields...> of a training-log line; null for noise and blanks."""
     text = strip(line)

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import tables
 from voxframe.functions import textrules as tr
+from voxframe.functions.edits import word_edits
 from voxframe.functions.scalar import clamp, let
 from voxframe.operators.compare import literal_rows
+from voxframe.operators.ordered import prefix
+from voxframe.operators.recursions import kept
 from voxframe.session import small_or_plain
 
 
@@ -81,7 +84,7 @@ def weights_at(df: DataFrame, emotion: str = "emotion", intensity: str = "intens
 def score_transcripts(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Word edits and error rate of every pair; 0 for an empty reference."""
     tokens = pairs.withColumn("_r", tr.wer_tokens(F.col(reference))).withColumn("_h", tr.wer_tokens(F.col(hypothesis)))
-    scored = tokens.withColumn("edits", tr.word_edits(F.col("_r"), F.col("_h"))).withColumn("ref_words", F.size("_r"))
+    scored = tokens.withColumn("edits", word_edits(F.col("_r"), F.col("_h"))).withColumn("ref_words", F.size("_r"))
     rate = F.when(F.col("ref_words") > 0, F.col("edits") / F.col("ref_words") * 100.0).otherwise(0.0)
     return scored.withColumn("wer_pct", rate).drop("_r", "_h")
 
@@ -272,62 +275,92 @@ def term_weights(df: DataFrame, text: str = "text") -> DataFrame:
     return counts.withColumn("weight", 1.0 / (1.0 + F.col("uses")))
 
 
+def _md5_number(*parts: Column) -> Column:
+    """The first 32 bits of the digest of the joined parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
+
+
 def uniform(*parts: Column) -> Column:
     """A repeatable number in [0, 1) from the hashed parts."""
-    digest = F.md5(F.concat_ws("|", *parts))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
-def weighted_pick(pool: Sequence[tuple[str, float]], u: Column) -> Column:
-    """The pool entry whose cumulative weight first reaches u x total."""
-    total = sum(w for _, w in pool)
-    out, upto = None, 0.0
-    for term, weight in pool:
-        upto += weight
-        hit = u * total <= upto
-        out = F.when(hit, term) if out is None else out.when(hit, term)
-    return out.otherwise(pool[-1][0])
-
-
-def augment_sentences(
-    df: DataFrame,
-    pools: dict[str, Sequence[tuple[str, float]]],
-    probability: float,
-    row_id: str,
-    seed: int = 0,
-    text: str = "text",
-) -> DataFrame:
-    """Seeded insertions before, between the clauses of, and after each sentence.
+    return _md5_number(*parts).cast("double") / 4294967296.0
+
+
+def pool_intervals(pools: DataFrame) -> DataFrame:
+    """(slot, term, upto, share, total, terms) of pools (slot, term, weight): each term's stretch of its slot's weight.
 
-    ``pools`` holds (term, weight) lists for prefix, mid and suffix; the weights
-    are the inverse-frequency ones of ``term_weights``.
+    Weights count in billionths, so running sums are exact. Terms are in the order of their
+    digests, whose leading bits cut a slot of any size into blocks.
     """
+    place = _md5_number(F.col("term"))
+    share = F.greatest(F.round(F.col("weight") * 1e9).cast("bigint"), F.lit(0))
+    terms = pools.where("slot IS NOT NULL AND term IS NOT NULL").groupBy("slot", "term").agg(F.sum("weight").alias("weight"))
+    placed = terms.select("slot", "term", place.alias("place"), F.shiftright(place, 20).alias("block"), share.alias("share")).where("share > 0")
+    placed = kept(placed, "pool")
+    upto = prefix(placed.withColumn("upto", F.col("share")), ["slot"], ["place", "term"], "block", {"upto": F.col("share")})
+    totals = placed.groupBy("slot").agg(F.sum("share").alias("total"), F.count(F.lit(1)).alias("terms"))
+    return upto.join(totals, "slot").select("slot", "term", "upto", "share", "total", "terms")
+
+
+def weighted_pick(draws: DataFrame, intervals: DataFrame, name: str) -> DataFrame:
+    """Draws (slot, u, ...) with the term of their slot whose running weight first reaches u x total; null without a pool.
+
+    A slot's weight is cut into as many equal cells as it has terms. A term is entered in each
+    cell that it touches, at most two a term on average, and a draw meets the terms of its own
+    cell; so large pools are joined by equality, and every cell gets its share of the draws.
+    """
+    cells = kept(intervals, "intervals")
+    sizes = cells.groupBy("slot").agg(F.first("total").alias("_total"), F.first("terms").alias("_terms"))
+    cell = lambda at, total, terms: F.least(F.floor(at / (total / terms)), terms - 1)
+    low = F.col("upto") - F.col("share")
+    entered = cells.select(
+        F.col("slot").alias("_slot"),
+        F.col("term").alias(name),
+        low.alias("_low"),
+        F.col("upto").alias("_upto"),
+        F.explode(F.sequence(cell(low, F.col("total"), F.col("terms")), cell(F.col("upto"), F.col("total"), F.col("terms")))).alias("_at"),
+    )
+    aimed = draws.join(sizes, "slot", "left").withColumn("_aim", F.col("u") * F.col("_total"))
+    aimed = aimed.withColumn("_cell", cell(F.col("_aim"), F.col("_total"), F.col("_terms")))
+    hit = (F.col("_aim") <= F.col("_upto")) & ((F.col("_aim") > F.col("_low")) | ((F.col("_aim") == 0) & (F.col("_low") == 0)))
+    met = (F.col("slot") == F.col("_slot")) & (F.col("_cell") == F.col("_at")) & hit
+    return aimed.join(entered, met, "left").select(*draws.columns, name)
+
 
-    def chance(slot: str, *where: Column) -> tuple[Column, Column]:
-        key = [F.col(row_id).cast("string"), F.lit(f"{seed}|{slot}"), *[w.cast("string") for w in where]]
-        return uniform(*key, F.lit("p")), uniform(*key, F.lit("w"))
-
-    def voiced(sentence: Column, i: Column) -> Column:
-        scores = tr.placement_scores(sentence)
-        p, w = chance("prefix", i)
-        lead = F.when(p < probability * scores["prefix"], F.concat(weighted_pick(pools["prefix"], w), F.lit(" "))).otherwise("")
-        clauses = F.split(F.concat(lead, sentence), ",", -1)
-
-        def clause(c: Column, k: Column) -> Column:
-            pm, wm = chance("mid", i, k)
-            return F.when(
-                (k > 0) & (pm < probability * scores["mid"]), F.concat(F.lit(" "), weighted_pick(pools["mid"], wm), F.lit(","), c)
-            ).otherwise(c)
-
-        joined = F.array_join(F.transform(clauses, clause), ",")
-        ps, ws = chance("suffix", i)
-        body = F.regexp_replace(joined, r"[.!?]+\z", "")
-        found = F.regexp_extract(joined, r"[.!?]+\z", 0)
-        end = F.when(found == "", ".").otherwise(found)
-        return F.when(ps < probability * scores["suffix"], F.concat(body, weighted_pick(pools["suffix"], ws), end)).otherwise(joined)
-
-    parts = F.transform(tr.sentences(F.col(text)), voiced)
-    return df.withColumn("augmented", F.when(F.col(text) == "", "").otherwise(F.array_join(parts, " ")))
+def augment_sentences(df: DataFrame, pools: DataFrame, probability: float, row_id: str, seed: int = 0, text: str = "text") -> DataFrame:
+    """Seeded insertions before, between the clauses of, and after each sentence.
+
+    ``pools(slot, term, weight)`` has the terms of the slots prefix, mid and suffix, of any
+    number; ``term_weights`` gives the inverse-frequency weights. Whether and what to insert
+    follows from the row id, the place and the seed. Sentences and their scores are computed
+    once. A slot without terms inserts nothing; a null text stays null.
+    """
+    rows = kept(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    key = lambda slot, *where: [F.col(row_id).cast("string"), F.lit(f"{seed}|{slot}"), *[w.cast("string") for w in where]]
+    i, k = F.col("_i"), F.col("_k")
+    intervals = kept(pool_intervals(pools), "weights")
+
+    said = rows.select("_row", row_id, F.posexplode(tr.sentences(F.col(text))).alias("_i", "_s")).withColumn("_p", tr.placement_scores(F.col("_s")))
+    chance = lambda slot, *where: uniform(*key(slot, *where), F.lit("p")) < probability * F.col("_p")[slot]
+    draw = lambda slot, *where: uniform(*key(slot, *where), F.lit("w"))
+
+    def picked(drawn: DataFrame, slot: str, where: Sequence[Column], name: str) -> DataFrame:
+        """Rows with what they insert at a slot."""
+        asks = drawn.withColumn("slot", F.when(chance(slot, *where), slot)).withColumn("u", draw(slot, *where))
+        return weighted_pick(asks, intervals, name).drop("slot", "u")
+
+    said = picked(picked(said, "prefix", [i], "_lead"), "suffix", [i], "_tail")
+    led = F.concat(F.coalesce(F.concat("_lead", F.lit(" ")), F.lit("")), "_s")
+    clauses = said.select("_row", row_id, "_i", "_p", "_tail", F.posexplode(F.split(led, ",", -1)).alias("_k", "_c"))
+    clauses = picked(clauses.withColumn("_p", F.when(k > 0, F.col("_p"))), "mid", [i, k], "_mid")
+    clause = F.concat(F.coalesce(F.concat(F.lit(" "), "_mid", F.lit(",")), F.lit("")), "_c")
+    joined = clauses.groupBy("_row", "_i").agg(F.first("_tail", ignorenulls=True).alias("_tail"), F.array_sort(F.collect_list(F.struct("_k", clause.alias("c")))).alias("_parts"))
+    joined = joined.select("_row", "_i", "_tail", F.array_join("_parts.c", ",").alias("_s"))
+    found = F.regexp_extract("_s", r"[.!?]+\z", 0)
+    ended = F.concat(F.regexp_replace("_s", r"[.!?]+\z", ""), "_tail", F.when(found == "", ".").otherwise(found))
+    voiced = joined.select("_row", "_i", F.coalesce(ended, F.col("_s")).alias("_s"))
+    whole = voiced.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_i", "_s")))["_s"], " ").alias("_whole"))
+    out = F.when(F.col(text).isNotNull(), F.coalesce("_whole", F.lit("")))
+    return rows.join(whole, "_row", "left").select(*df.columns, out.alias("augmented"))
 
 
 AXES = ("arousal", "dominance", "valence")

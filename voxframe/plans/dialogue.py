@@ -6,6 +6,8 @@ messages are built by one expression that both engines evaluate.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from voxframe.functions import textrules as tr
 from voxframe.functions.scalar import rnd
 from voxframe.operators import text as ops
 from voxframe.plans.registry import query, rnd_sql as r, spread, table, with_sql
+from voxframe.session import shared_dir
 from voxframe.sources import files
 
 MESSAGE = (
@@ -318,15 +321,42 @@ def placement_scores(spark, sf):
     )
 
 
-@query("augmented_sentences")
+_TOKENS = "list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
+
+_U = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
+_SAID = "list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+_chance = lambda slot, where: _U.format(f"doc_id || '|7|{slot}|' || {where} || '|p'") + " / 4294967296.0::DOUBLE"
+_aim = lambda slot, where: _U.format(f"doc_id || '|7|{slot}|' || {where} || '|w'") + f" / 4294967296.0::DOUBLE * (SELECT sum(share)::BIGINT FROM pool WHERE slot = '{slot}')"
+_AUGMENTED = with_sql(
+    {
+        "tw": f"SELECT term, 1.0::DOUBLE / (1.0::DOUBLE + count(*)) AS weight FROM (SELECT unnest({_TOKENS.format('text')}) AS term FROM documents) WHERE length(term) BETWEEN 4 AND 6 GROUP BY term",
+        "pool": f"SELECT ['prefix', 'mid', 'suffix'][length(term) - 3] AS slot, term, CAST(round(weight * 1e9::DOUBLE) AS BIGINT) AS share, {_U.format('term')} AS place FROM tw",
+        "cum": "SELECT slot, term, sum(share) OVER (PARTITION BY slot ORDER BY place, encode(term))::BIGINT AS upto FROM pool WHERE share > 0",
+        "s0": f"SELECT doc_id, unnest({_SAID}) AS s, generate_subscripts({_SAID}, 1) - 1 AS i FROM documents",
+        "sc": "SELECT *, 0.25::DOUBLE + CASE WHEN regexp_matches(s, '(?i)" + tr.TECH_WORDS + "') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN nw > 12 THEN 0.1::DOUBLE ELSE 0 END AS pp, least((len(string_split(s, ',')) - 1) * 0.4::DOUBLE, 1.0) AS pm, "
+        "CASE WHEN regexp_matches(s, '[?]\\s*$') THEN 0 ELSE 0.55::DOUBLE + CASE WHEN nw > 8 THEN 0.2::DOUBLE ELSE 0 END END AS ps FROM (SELECT *, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '')) AS nw FROM s0)",
+        "dp": f"SELECT doc_id, i, {_aim('prefix', 'i')} AS aim, 'prefix' AS slot FROM sc WHERE {_chance('prefix', 'i')} < 0.8::DOUBLE * pp UNION ALL "
+        f"SELECT doc_id, i, {_aim('suffix', 'i')}, 'suffix' FROM sc WHERE {_chance('suffix', 'i')} < 0.8::DOUBLE * ps",
+        "pk": "SELECT dp.doc_id, dp.i, dp.slot, cum.term FROM dp ASOF JOIN cum ON dp.slot = cum.slot AND dp.aim <= cum.upto",
+        "ld": "SELECT sc.*, coalesce(a.term || ' ', '') || s AS led, b.term AS tail FROM sc LEFT JOIN pk a ON a.doc_id = sc.doc_id AND a.i = sc.i AND a.slot = 'prefix' LEFT JOIN pk b ON b.doc_id = sc.doc_id AND b.i = sc.i AND b.slot = 'suffix'",
+        "cl": "SELECT doc_id, i, pm, tail, unnest(string_split(led, ',')) AS c, generate_subscripts(string_split(led, ','), 1) - 1 AS k FROM ld",
+        "dm": f"SELECT doc_id, i, k, {_aim('mid', chr(105) + ' || $$|$$ || k')} AS aim FROM cl WHERE k > 0 AND {_chance('mid', chr(105) + ' || $$|$$ || k')} < 0.8::DOUBLE * pm",
+        "pm": "SELECT dm.doc_id, dm.i, dm.k, cum.term FROM dm ASOF JOIN (SELECT * FROM cum WHERE slot = 'mid') AS cum ON dm.aim <= cum.upto",
+        "jn": "SELECT cl.doc_id, cl.i, any_value(tail) AS tail, string_agg(coalesce(' ' || pm.term || ',', '') || c, ',' ORDER BY cl.k) AS s FROM cl LEFT JOIN pm ON pm.doc_id = cl.doc_id AND pm.i = cl.i AND pm.k = cl.k GROUP BY cl.doc_id, cl.i",
+        "vo": "SELECT doc_id, i, CASE WHEN tail IS NULL THEN s ELSE regexp_replace(s, '[.!?]+$', '') || tail || coalesce(nullif(regexp_extract(s, '[.!?]+$'), ''), '.') END AS s FROM jn",
+        "wh": "SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS w FROM vo GROUP BY doc_id",
+    },
+    "SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(w, '') END AS augmented FROM documents d LEFT JOIN wh ON wh.doc_id = d.doc_id",
+)
+
+
+@query("augmented_sentences", _AUGMENTED)
 def augmented_sentences(spark, sf):
-    """Seeded insertions with pools weighted by how rarely a word is used."""
-    pools = {
-        "prefix": [("Well,", 0.5), ("Look,", 0.25), ("So,", 0.1)],
-        "mid": [("you know", 0.5), ("hm", 0.5)],
-        "suffix": [(", right", 0.7), (", eh", 0.3)],
-    }
+    """Seeded insertions of the documents' own words of four, five and six letters, rare ones more often."""
     docs = documents(spark, sf).select("doc_id", "text")
+    size = F.char_length("term")
+    slot = F.when(size == 4, "prefix").when(size == 5, "mid").when(size == 6, "suffix")
+    pools = ops.term_weights(table(spark, sf, "documents")).select(slot.alias("slot"), "term", "weight")
     return ops.augment_sentences(docs, pools, 0.8, "doc_id", seed=7).select("doc_id", "augmented")
 
 
@@ -385,7 +415,6 @@ def storyboard(spark, sf):
     return ops.parse_storyboard(docs, ["event_id"])
 
 
-_TOKENS = "list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
 _WER = {
     **MESSAGES,
     "pr": "SELECT session_id, event_id, text AS hyp, lag(text) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS ref FROM msg",
@@ -520,6 +549,28 @@ def stress_annotation(spark, sf):
     return ops.annotate_stress(docs, dictionary, ["doc_id"], letters=_LATIN)
 
 
+@query(
+    "stress_dictionary",
+    with_sql(
+        {
+            "w": "SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]{3,}'), 1) AS pos FROM documents",
+            "f": "SELECT lower(w) AS bare, substr(w, 1, 1 + doc_id % (length(w) - 1)) || chr(769) || substr(w, 2 + doc_id % (length(w) - 1)) AS accented, doc_id % 2 AS load, doc_id, pos FROM w",
+        },
+        "SELECT bare, first(accented ORDER BY load, doc_id, pos) AS accented FROM f GROUP BY bare",
+    ),
+)
+def stress_dictionary(spark, sf):
+    """Two dictionaries of many files and splits, written from the documents; the first insert of a word wins."""
+    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("pos", "bare"))
+    cut = (F.lit(1) + F.col("doc_id") % (F.length("bare") - 1)).cast("int")
+    form = F.concat(F.substring("bare", F.lit(1), cut), F.lit("'"), F.substring("bare", cut + 1, F.length("bare")))
+    base = f"{shared_dir(spark)}/dictionary-{uuid.uuid4().hex}"
+    for load in (0, 1):
+        rows = words.where(F.col("doc_id") % 2 == load).withColumn("accented", form).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id", "pos")
+        rows.select("bare", "accented").write.option("sep", "\t").option("header", True).csv(f"{base}/{load}")
+    return files.read_stress(spark, [f"{base}/0", f"{base}/1"])
+
+
 @query(
     "term_weights",
     f"SELECT term, count(*) AS uses, {r('1.0 / (1.0 + count(*))', 8)} AS weight FROM (SELECT unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY term",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from voxframe.operators.ordered import with_block, with_position
 from voxframe.plans.dialogue import EMOTIONS, MESSAGE, MESSAGES, _LOG, messages
 from voxframe.plans.frames import FRAME_S, FRAMES, SEGMENTS, frames, segments
 from voxframe.plans.registry import query, rnd_sql as r, table, with_sql
-from voxframe.streaming import stateful
+from voxframe.session import shared_dir
+from voxframe.streaming import followed, keyed, spend, stateful
 
 
 
@@ -462,6 +465,106 @@ def stream_job_status(spark, sf):
     return stateful.run_available(stateful.job_status(lines, ["user_id"], "event_id"), mode="complete")
 
 
+# ---- state by entries, late rows, followed logs
+
+
+@query(
+    "stream_delivery_status",
+    with_sql(
+        {
+            **FRAMES,
+            "n": "SELECT series_id AS session_id, count(*) AS n FROM frames GROUP BY series_id",
+            # every third session is not closed, another third misses its last chunk
+            "g": "SELECT session_id, CASE WHEN session_id % 3 = 1 THEN n - 1 ELSE n END AS received, CASE WHEN session_id % 3 > 0 THEN n END AS total FROM n",
+        },
+        "SELECT session_id, CASE WHEN total IS NULL THEN 'filling' WHEN received >= total THEN 'done' ELSE 'draining' END AS status, received AS played, received, total, received AS chunks FROM g",
+    ),
+)
+def stream_delivery_status(spark, sf):
+    arrivals = _arrivals(spark, sf).select("session_id", "idx", "payload", "arrived")
+    sizes = table(spark, sf, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.count(F.lit(1)).alias("n"))
+    sent = arrivals.join(sizes, "session_id").where("session_id % 3 <> 1 OR idx < n - 1").drop("n").withColumn("total", F.lit(None).cast("bigint"))
+    ends = sizes.where("session_id % 3 > 0").select("session_id", F.lit(None).cast("bigint").alias("idx"), F.lit(None).cast("string").alias("payload"), F.lit(None).cast("bigint").alias("arrived"), F.col("n").alias("total"))
+    folder = stateful.waves(sent.unionByName(ends).withColumn("wave", F.pmod(F.xxhash64("session_id", "idx"), F.lit(3))), "wave", 3)
+    stream = stateful.read_stream(spark, folder, sent.schema, files_per_trigger=4)
+    out = stateful.run_available(keyed.delivery(stream, ["session_id"]))
+    last = F.max(F.when(F.col("kind") != "chunk", F.struct("received", F.coalesce("total", F.lit(-1)).alias("t"), "idx", "kind", "total")))
+    ends = out.groupBy("session_id").agg(last.alias("s"), F.count_if(F.col("kind") == "chunk").alias("chunks"))
+    return ends.select("session_id", F.col("s.kind").alias("status"), F.col("s.idx").alias("played"), "s.received", "s.total", "chunks")
+
+
+@query("stream_event_time_fence", _FENCE)
+def stream_event_time_fence(spark, sf):
+    """Decided as the watermark passes each result; a last row of another session moves it to the end."""
+    events = table(spark, sf, "events").withColumn("ts_ms", ts_ms())
+    done = F.col("ts_ms") + F.col("value") * 600000
+    mark = lambda kind, at: F.struct(F.lit(kind).alias("type"), at.alias("at"))
+    kinds = F.when(F.col("event_type") == "error", F.array(mark("reset", F.col("ts_ms")))).otherwise(F.array(mark("request", F.col("ts_ms")), mark("result", done)))
+    marks = events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("request"), F.inline(kinds))
+    edges = marks.agg(F.percentile_approx("at", [0.0, 0.34, 0.67, 1.0]).alias("q")).first()["q"] or [0.0] * 4
+    last = spark.createDataFrame([(None, -1, "reset", float(edges[3]) + 9e9, 3)], "session_id long, request long, type string, at double, wave int")
+    wave = F.when(F.col("at") < edges[1], 0).when(F.col("at") < edges[2], 1).otherwise(2)
+    rows = marks.withColumn("wave", wave).unionByName(last).withColumn("ts", F.timestamp_micros((F.col("at") * 1000).cast("bigint")))
+    folder = stateful.waves(rows, "wave", 4)
+    stream = stateful.read_stream(spark, folder, rows.drop("wave").schema, files_per_trigger=4)
+    out = stateful.run_available(keyed.fence(stream.withWatermark("ts", "1 hour"), ["session_id"], 864_000_000.0))
+    return out.select("session_id", F.col("request").alias("event_id"), "generation")
+
+
+_SPEND = {
+    "c": "SELECT event_id, event_id % 4 AS w, ts, value / 10 AS a, value < 20 AS hit, value * 100.0 / 7 AS rtt FROM events",
+    "m": "SELECT w, max(max(ts)) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 DAY AS mark FROM c GROUP BY w",
+    "g": f"SELECT *, coalesce(ts < mark, false) AS late, CASE WHEN hit THEN 0 ELSE {tables.GPU_BASE_S} + a * {tables.GPU_PER_AUDIO_S} END::DOUBLE * {tables.GPU_USD_PER_S} AS cost FROM c JOIN m USING (w)",
+}
+
+
+def _running_spend(spark, sf):
+    calls = table(spark, sf, "events").select(
+        "event_id", "ts", (F.col("event_id") % 4).alias("wave"), (F.col("value") / 10).alias("audio_duration_sec"), (F.col("value") < 20).alias("cache_hit"), (F.col("value") * 100.0 / 7).alias("rtt_ms"), F.lit("x").alias("text")
+    )
+    rows = sessions.receipts(calls)
+    folder = stateful.waves(rows, "wave", 4)
+    schema = rows.drop("wave").schema
+    return spend.RunningSpend(spark, schema, "10 DAYS").run(stateful.read_stream(spark, folder, schema, files_per_trigger=4))
+
+
+@query(
+    "stream_running_spend",
+    with_sql(
+        _SPEND,
+        f"SELECT CAST(ts::DATE AS VARCHAR) AS day, count(*) AS calls, count(*) FILTER (hit) AS hits, {r('count(*) FILTER (hit) * 100.0 / count(*)', 4)} AS hit_pct, {r('sum(a)', 3)} AS audio_sec, {r('sum(cost)', 6)} AS cost_usd, "
+        f"{r('avg(rtt)', 5)} AS mean_rtt_ms, {r('min(rtt)', 5)} AS min_rtt_ms, {r('max(rtt)', 5)} AS max_rtt_ms FROM g WHERE NOT late GROUP BY ts::DATE",
+    ),
+)
+def stream_running_spend(spark, sf):
+    """Calls arrive in four waves; what lies more than ten days behind is late."""
+    out = _running_spend(spark, sf).totals("day")
+    digits = {"hit_pct": 4, "audio_sec": 3, "cost_usd": 6, "mean_rtt_ms": 5, "min_rtt_ms": 5, "max_rtt_ms": 5}
+    return out.select(F.col("day").cast("string").alias("day"), "calls", "hits", *[rnd(F.col(c), d).alias(c) for c, d in digits.items()])
+
+
+@query("stream_late_rows", with_sql(_SPEND, f"SELECT event_id, {r('cost', 6)} AS cost_usd FROM g WHERE late"))
+def stream_late_rows(spark, sf):
+    return _running_spend(spark, sf).late_rows().select("event_id", rnd(F.col("cost_usd"), 6).alias("cost_usd"))
+
+
+@query(
+    "stream_followed_log",
+    "WITH l AS (SELECT event_id, user_id % 8 AS job, event_id % 14 AS k, event_id % 3 * 1000000000 + event_id AS pos FROM events) "
+    "SELECT job, count(*) AS lines, count(*) FILTER (k NOT IN (5, 11)) AS events, arg_max(event_id, pos) FILTER (k = 7) AS step, max(0.75) FILTER (k = 7)::DOUBLE AS loss, "
+    "CASE WHEN count(*) FILTER (k = 10) > 0 THEN 'failed' ELSE 'running' END AS state FROM l GROUP BY job",
+)
+def stream_followed_log(spark, sf):
+    """Eight jobs log in three waves of text files."""
+    lines = table(spark, sf, "events").select("event_id", (F.col("user_id") % 8).alias("job"), (F.col("event_id") % 3).alias("wave"), F.expr(_LOG).alias("value"))
+    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    for wave in range(3):
+        part = lines.where(F.col("wave") == wave).repartition(4, "job").sortWithinPartitions("job", "event_id")
+        part.select("job", "value").write.mode("append").partitionBy("job").text(folder)
+    job = F.regexp_extract("file", "job=([0-9]+)", 1).cast("bigint")
+    return followed.FollowedLog(spark, job).run(followed.stream_lines(spark, folder, 3)).status()
+
+
 # ---- warped alignment and regions
 
 

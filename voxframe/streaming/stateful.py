@@ -91,8 +91,9 @@ def replayed(marks: DataFrame, keys: Sequence[str], order: Sequence[str], capaci
 
 
 def daily_totals(receipts: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """Spend per day over a stream; rows later than the watermark are dropped from
-    the totals, so send them to a side table with ``late_rows`` first."""
+    """Spend per day over a stream; rows later than the watermark are dropped from the totals.
+
+    ``spend.RunningSpend`` keeps them in a table of their own."""
     day = F.window(ts, "1 day")
     totals = sessions.ledger_totals(receipts.withWatermark(ts, late), [day.alias("day")])
     return totals.select(F.to_date(F.col("day.start")).alias("day"), *[c for c in totals.columns if c != "day"])
@@ -129,6 +130,14 @@ def staged(df: DataFrame, files_per_trigger: int = 100) -> DataFrame:
     return read_stream(df.sparkSession, folder, df.schema, files_per_trigger=files_per_trigger)
 
 
+def waves(df: DataFrame, wave: str, count: int, files: int = 4) -> str:
+    """Write a table to the shared folder wave by wave, each in ``files`` files, so that a stream meets them in turn."""
+    folder = f"{shared_dir(df.sparkSession)}/waves-{uuid.uuid4().hex}"
+    for k in range(count):
+        df.where(F.col(wave) == k).drop(wave).repartition(files).write.mode("append").parquet(folder)
+    return folder
+
+
 def _replace(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         # a replayed batch writes the same state again
