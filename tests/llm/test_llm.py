@@ -436,8 +436,8 @@ def test_html_extraction(spark):
     got = html_text.html_extraction(frame(spark, rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows)
     by = {r.page_id: r for r in got}
-    # the line that all pages of a host show says nothing; on a host of one page it stays
-    assert by[3].text == "Head&line 3\n\nbold 3 x more text\n\nunclosed é 3"
+    # nothing of the article is cut because other pages have it too
+    assert by[3].text == "Head&line 3\n\nbold 3 x more text\n\nunclosed é 3\n\nitem\n\nother\n\nSame everywhere"
     assert by[100].text == "Head&line z\n\nbold z x more text\n\nunclosed é z\n\nitem\n\nother\n\nSame everywhere"
     assert [by[i].text for i in (101, 102, 103, 104, None)] == ["", "", "cut off", "plain <text>", "deep"]
     assert all(r.n_chars == len(r.text) for r in got)
@@ -446,16 +446,16 @@ def test_html_extraction(spark):
 
 @pytest.mark.parametrize("m", [8, 1_000])
 def test_html_article_keeps_what_many_pages_share(spark, m):
-    """Prose of the article stays however many pages repeat it, other text of it unless nearly all do, whatever the size of the host."""
+    """The article's text stays however many pages repeat it, whatever the size of the host."""
     rows = []
     for i in range(m):
         shared = "".join(f"<{t}>shared {t}</{t}>" for t in ("p", "h2", "blockquote"))
-        some = "<ul><li>on many</ul><div>note on many</div>" if i % 8 else ""
+        some = "<ul><li>on all</ul><div>note on all</div>"
         rows.append((i, f"http://h/{i}", f"<body><article>{shared}<p>own {i}</p>{some}</article></body>"))
         rows.append((m + i, f"http://plain/{i}", f"<body><div>own {i}</div><section>{'quoted' if i % 3 == 0 else i}</section><b>all pages</b></body>"))
     got = {r.page_id: r.text for r in html_text.html_extraction(frame(spark, rows, "page_id long, url string, html string")).collect()}
     for i in range(m):
-        more = ["on many", "note on many"] if i % 8 else []
+        more = ["on all", "note on all"]
         assert got[i].split("\n\n") == ["shared p", "shared h2", "shared blockquote", f"own {i}", *more]
         assert got[m + i].split("\n\n") == [f"own {i}", "quoted" if i % 3 == 0 else str(i)]
 
@@ -475,6 +475,33 @@ def test_html_names_do_not_drop_the_article():
     assert text("<article><p>story</p><section id='comments'><article>reply</article></section></article>") == ["story"]
 
 
+def test_html_article_keeps_what_only_sounds_like_boilerplate():
+    text = lambda source: [b[1] for b in html_text.Page(source).main()]
+    inside = lambda source: text(f"<article><p>first</p>{source}<p>last</p></article>")[1:-1]
+    for kept in (
+        '<h2 id="related-work">kept</h2>', '<section id="social-history"><p>kept</p></section>', '<table class="share-prices"><tr><td>kept</table>',
+        '<p class="search-and-rescue">kept</p>', '<p class="notice">kept</p>', '<div class="comment-on-the-text">kept</div>', '<section><article>kept</article></section>',
+    ):
+        assert inside(kept) == ["kept"], kept
+    assert inside('<p>a <span class="ad">word</span> stays</p>') == ["a word stays"]
+    for gone in (
+        '<article class="comment">gone</article>', '<div class="reader-comments"><p>gone</p></div>', '<section id="comments">gone</section>', '<div class="related-posts"><ul><li>gone</ul></div>',
+        '<div class="share-buttons"><a>gone</a></div>', '<div aria-label="advertisement">gone</div>', '<div role="complementary">gone</div>', '<label>gone</label>', '<article class="teaser">gone</article>',
+    ):
+        assert inside(gone) == [], gone
+
+
+def test_html_takes_one_article():
+    text = lambda source: [b[1] for b in html_text.Page(source).main()]
+    assert text("<article class='teaser'>a long enough teaser text</article><article><p>the story</p></article>") == ["the story"]
+    assert text("<article>short</article><article><p>the longest of them</p></article><article>last</article>") == ["the longest of them"]
+    assert text("<main><h1>Title</h1><article><p>story</p></article><aside>x</aside></main>") == ["Title", "story"]
+    assert text("<main><h1>Index</h1><article>one</article><article>the second</article></main>") == ["the second"]
+    assert text("<div class='sitefooter'>foot</div><div><p>story</p></div><div><a href='x'>link</a> <a>link</a></div>") == ["story"]
+    assert text("<ul><li><a>only</a><li><a>links</a></ul>") == ["only", "links"]
+    assert len(text("<article><p>" + "word " * 400_000 + "</article>")[0]) == 1_999_999
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_warc(spark, compression):
     inner = "x WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n é"
