@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import tables, verdicts
 from voxframe.functions.scalar import clamp, let, rnd
+from voxframe.operators.recursions import kept
 from voxframe.session import small_or_plain
 
 
@@ -316,6 +317,23 @@ def variant_diff(before: DataFrame, after: DataFrame, keys: Sequence[str], dead_
     return joined.withColumn("delta", delta).withColumn("trend", verdicts.trend(F.col("delta"), dead_band))
 
 
+def variant_summary(before: DataFrame, after: DataFrame, lsd_before: DataFrame, lsd_after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Overall rows of a variant diff: mean gap and spectral gap of each run, their change and its trend.
+
+    Gaps are ``(keys, metric, gap_pct)`` rows, spectral gaps ``(keys, lsd)``. A change counts
+    beyond one percent of gap and half a dB of spectral gap. Only what both runs have is shown.
+    """
+    mean = lambda df, name: df.groupBy(*keys).agg(F.round(F.avg(F.round("gap_pct", 1)), 1).alias(name))
+    spectral = lambda df, name: df.groupBy(*keys).agg(F.avg("lsd").alias(name))
+
+    def row(old: DataFrame, new: DataFrame, metric: str, dead_band: float) -> DataFrame:
+        both = old.join(new, list(keys)).withColumn("delta", F.col("after") - F.col("before"))
+        return both.select(*keys, F.lit(metric).alias("metric"), "before", "after", "delta", verdicts.trend(F.col("delta"), dead_band).alias("trend"))
+
+    gap = row(mean(before, "before"), mean(after, "after"), "Mean gap", 1.0)
+    return gap.unionByName(row(spectral(lsd_before, "before"), spectral(lsd_after, "after"), "Spectral gap", 0.5))
+
+
 def correct_knobs(
     df: DataFrame,
     config: dict = tables.CONTROLLER,
@@ -395,7 +413,7 @@ def running_best(trials: DataFrame, keys: Sequence[str], block: str = "block") -
 
 def best_three(scores: DataFrame, keys: Sequence[str], score: str = "score", apart: float = 0.1) -> DataFrame:
     """The three lowest scores, skipping any closer than ``apart`` to the last kept."""
-    taken = None
+    scores, taken = kept(scores.select(*keys, score), "scores"), None
     for rank in (1, 2, 3):
         if taken is None:
             step = scores.groupBy(*keys).agg(F.min(score).alias("_s1"))
@@ -416,8 +434,8 @@ def upsert_presets(existing: DataFrame, generated: DataFrame, prefix: str = "aut
     slot = lambda: F.regexp_extract("name", f"^{prefix}(\\d+)", 1)
     old = existing.withColumn("_slot", F.when(F.col("name").startswith(prefix), slot()).otherwise(F.col("name")))
     new = generated.withColumn("_slot", slot())
-    kept = old.join(new.select("_slot"), "_slot", "left_anti")
-    return kept.unionByName(new).drop("_slot")
+    rest = old.join(new.select("_slot"), "_slot", "left_anti")
+    return rest.unionByName(new).drop("_slot")
 
 
 def default_on_empty(rows: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from voxframe.operators.ordered import (
     runs,
     with_position,
 )
+from voxframe.operators.recursions import kept
 
 KEYS = ("series_id",)
 
@@ -450,6 +451,7 @@ def speech_intervals(silences: DataFrame, durations: DataFrame, keys: Sequence[s
 
     Empty intervals are omitted.
     """
+    silences = kept(silences.select(*keys, "start_s", "end_s", "block"), "silences")
     numbered = with_position(silences, keys, ["start_s"], "block", "_no")
     opened = neighbours(
         numbered, keys, "_no", 1, 0, {"_from": lambda w: F.coalesce(F.lag("end_s").over(w), F.lit(0.0))}
@@ -500,8 +502,10 @@ def clean_report(
 ) -> DataFrame:
     """Durations before/after trimming, samples that clip after levelling, kept?
 
-    An all-silent clip is reported with an after-duration of 0 and not kept.
+    An all-silent clip is reported with an after-duration of 0 and not kept. The samples are
+    staged once and read three times.
     """
+    samples = kept(samples.select(*keys, idx, value), "samples")
     loud = F.abs(F.col(value)) > 10.0 ** (trim_db / 20.0)
     edges = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -536,6 +540,13 @@ def clean_totals(report: DataFrame) -> DataFrame:
     )
 
 
+def spectral_centroid(mags: Column, bin_hz: float) -> Column:
+    """Mean frequency of a spectrum, weighted by magnitude; null for a vanishing one."""
+    total = F.aggregate(mags, F.lit(0.0), lambda s, m: s + m)
+    weighted = F.aggregate(F.transform(mags, lambda m, i: m * i * bin_hz), F.lit(0.0), lambda s, m: s + m)
+    return F.when(total > 1e-10, weighted / total)
+
+
 def corpus_fingerprint(clips: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Unweighted mean of each clip metric, with the clip count."""
     return clips.agg(F.count(F.lit(1)).alias("clips"), *[F.avg(m).alias(m) for m in metrics])

@@ -433,9 +433,15 @@ def blend(audio: Column, text: Column) -> Column:
     return audio * 0.3 + text * 0.7
 
 
-def label_clips(clips: DataFrame, transcripts: DataFrame, key: str = "clip", text: str = "text") -> DataFrame:
-    """Clips with a non-empty transcript."""
-    return clips.join(transcripts.filter(F.col(text).isNotNull() & (F.col(text) != "")), key)
+def label_clips(clips: DataFrame, transcripts: DataFrame, key: str = "clip", text: str = "text", required: bool = False) -> DataFrame:
+    """Clips with a non-empty transcript; if one is ``required``, none at all is an error."""
+    found = clips.join(transcripts.filter(F.col(text).isNotNull() & (F.col(text) != "")), key)
+    if not required:
+        return found
+    some = found.limit(1).agg(F.count(F.lit(1)).alias("_n"))
+    fault = F.when(F.col("_n") == 0, F.raise_error(F.lit("no clip has a transcript")).cast("boolean"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields]
+    return found.unionByName(some.where(F.coalesce(fault, F.lit(False))).select(*nothing))
 
 
 def unlabelled_clips(clips: DataFrame, transcripts: DataFrame, key: str = "clip", text: str = "text") -> DataFrame:

@@ -677,7 +677,7 @@ def _labelled(spark, sf):
 
 @query("labelled_clips", "SELECT doc_id AS clip, source, 't' || doc_id AS text FROM documents JOIN labels USING (doc_id) WHERE quality <> 0")
 def labelled_clips(spark, sf):
-    return ops.label_clips(*_labelled(spark, sf))
+    return ops.label_clips(*_labelled(spark, sf), required=True)
 
 
 @query("unlabelled_clips", "SELECT doc_id AS clip, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality <> 0)")

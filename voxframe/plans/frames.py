@@ -12,6 +12,7 @@ from voxframe.functions import verdicts
 from voxframe.functions.scalar import rnd
 from voxframe.operators import signal
 from voxframe.operators.ordered import with_block, with_position
+from voxframe.operators.recursions import kept
 from voxframe.plans.registry import query, rnd_sql as r, table, with_sql
 
 SILENT = 30.0
@@ -346,7 +347,7 @@ INTERVALS = {
 
 
 def intervals(spark, sf):
-    seg = segments(spark, sf)
+    seg = kept(segments(spark, sf), "segments")
     silences = seg.filter((F.col("kind") == "silence") & (F.col("n_frames") >= 2))
     durations = seg.groupBy("series_id").agg(F.max("end_s").alias("total_s"))
     return signal.speech_intervals(silences, durations)
@@ -514,9 +515,10 @@ def quality_gate(spark, sf):
             "20*log10(max(value)) - 20*log10(sqrt(sum(value*value)/count(*))) AS crest, "
             f"coalesce(avg(value) FILTER (value >= {SILENT}), 0) AS pitch_hz, coalesce(stddev_pop(value) FILTER (value >= {SILENT}), 0) AS pitch_variation_hz, "
             f"avg(CASE WHEN value >= {SILENT} THEN 1.0::DOUBLE ELSE 0 END) AS voice_presence FROM frames GROUP BY series_id",
+            "ce": "SELECT vec_id, list_sum([abs(x::DOUBLE) * (i - 1) * 100.0::DOUBLE for x, i in embedding]) / list_sum([abs(x::DOUBLE) for x in embedding]) AS centroid FROM embeddings",
         },
         f"SELECT count(*) AS clips, {r('avg(rms_db)', 6)} AS rms_db, {r('avg(crest)', 6)} AS crest, {r('avg(pitch_hz)', 6)} AS pitch_hz, "
-        f"{r('avg(pitch_variation_hz)', 6)} AS pitch_variation_hz, {r('avg(voice_presence)', 6)} AS voice_presence FROM c",
+        f"{r('avg(pitch_variation_hz)', 6)} AS pitch_variation_hz, {r('avg(voice_presence)', 6)} AS voice_presence, {r('avg(centroid)', 4)} AS centroid_hz FROM c LEFT JOIN ce ON vec_id = series_id",
     ),
 )
 def corpus_fingerprint(spark, sf):
@@ -524,8 +526,11 @@ def corpus_fingerprint(spark, sf):
     clips = signal.loudness(fr).join(
         signal.pitch_statistics(fr, F.col("value") >= SILENT, FRAME_S, order=["ts", "event_id"]), "series_id"
     )
+    mags = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    spectra = table(spark, sf, "embeddings").select(F.col("vec_id").alias("series_id"), signal.spectral_centroid(mags, 100.0).alias("centroid_hz"))
     metrics = ["rms_db", "crest", "pitch_hz", "pitch_variation_hz", "voice_presence"]
-    return _rounded(signal.corpus_fingerprint(clips, metrics), 6, *metrics)
+    out = signal.corpus_fingerprint(clips.join(spectra, "series_id", "left"), [*metrics, "centroid_hz"])
+    return _rounded(_rounded(out, 6, *metrics), 4, "centroid_hz")
 
 
 @query(

@@ -13,6 +13,7 @@ from voxframe.functions.verdicts import is_cache_hit, is_warm
 from voxframe.operators import alignment, compare, ordered, sessions, signal
 from voxframe.operators import text as text_ops
 from voxframe.operators.ordered import with_block, with_position
+from voxframe.operators.recursions import kept
 from voxframe.plans.dialogue import EMOTIONS, MESSAGE, MESSAGES, _LOG, messages
 from voxframe.plans.frames import FRAME_S, FRAMES, SEGMENTS, frames, segments
 from voxframe.plans.registry import query, rnd_sql as r, table, with_sql
@@ -589,7 +590,7 @@ def _warp_sql(series: str) -> dict[str, str]:
 
 
 def _contours(spark, sf):
-    fr = frames(spark, sf).withColumn("pair_id", F.floor(F.col("series_id") / 2))
+    fr = kept(frames(spark, sf).select("series_id", "frame_idx", "value"), "contours").withColumn("pair_id", F.floor(F.col("series_id") / 2))
     side = lambda s: fr.filter(F.col("series_id") % 2 == s).select("pair_id", "frame_idx", "value")
     return side(0), side(1)
 
@@ -615,7 +616,7 @@ def contour_correlation(spark, sf):
 
 def _tempo(spark, sf):
     """(matches, totals): segment durations of a reference series warped onto its partner's."""
-    seg = with_position(segments(spark, sf), ["series_id"], ["start_idx"], "block", "seg_no").withColumn("pair_id", F.floor(F.col("series_id") / 2))
+    seg = kept(with_position(segments(spark, sf), ["series_id"], ["start_idx"], "block", "seg_no"), "segments").withColumn("pair_id", F.floor(F.col("series_id") / 2))
     side = lambda s: seg.filter(F.col("series_id") % 2 == s)
     path = alignment.warp(side(0), side(1), ["pair_id"], idx="seg_no", value="duration_s")
     kinds = side(0).select("pair_id", F.col("seg_no").alias("ref_idx"), "kind")

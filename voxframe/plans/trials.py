@@ -13,6 +13,7 @@ from voxframe.functions import tables, verdicts
 from voxframe.functions.scalar import rnd
 from voxframe.operators import compare, signal, similarity
 from voxframe.operators.ordered import with_block, with_position
+from voxframe.operators.recursions import kept
 from voxframe.plans.frames import SEGMENTS, segments
 from voxframe.plans.registry import query, rnd_sql as r, table, with_sql
 
@@ -251,6 +252,31 @@ def variant_diff(spark, sf):
     return out.withColumn("delta", rnd(F.col("delta"), 4))
 
 
+@query(
+    "variant_summary",
+    with_sql(
+        {
+            **_GATE,
+            "mg": "SELECT l_partkey, l_linestatus, round(avg(round(gap_pct, 1)), 1) AS g FROM gap GROUP BY l_partkey, l_linestatus",
+            "fr": "SELECT vec_id // 14 // 2 AS pair_id, vec_id // 14 % 2 AS side, vec_id % 14 AS frame_idx, [x::DOUBLE for x in embedding] AS v FROM embeddings",
+            "ls": "SELECT a.pair_id // 2 AS l_partkey, a.pair_id % 2 AS run, avg(sqrt(list_sum([pow(p - b.v[i], 2) for p, i in a.v]) / len(a.v))) AS lsd FROM fr a JOIN fr b ON a.pair_id = b.pair_id AND a.frame_idx = b.frame_idx AND a.side = 0 AND b.side = 1 GROUP BY a.pair_id",
+            "u": "SELECT b.l_partkey, 'Mean gap' AS metric, b.g AS before, a.g AS after, 1.0 AS band FROM mg b JOIN mg a ON a.l_partkey = b.l_partkey AND b.l_linestatus = 'F' AND a.l_linestatus = 'O' UNION ALL "
+            "SELECT b.l_partkey, 'Spectral gap', b.lsd, a.lsd, 0.5 FROM ls b JOIN ls a ON a.l_partkey = b.l_partkey AND b.run = 0 AND a.run = 1",
+        },
+        f"SELECT l_partkey, metric, {r('before', 4)} AS before, {r('after', 4)} AS after, {r('after - before', 4)} AS delta, CASE WHEN after - before < -band THEN 'improved' WHEN after - before > band THEN 'worse' ELSE 'same' END AS trend FROM u",
+    ),
+)
+def variant_summary(spark, sf):
+    """Mean gap per part, and the spectral gap of two pairs of vector clips, before and after."""
+    lines = table(spark, sf, "lineitem")
+    gaps = kept(gaps_of(lines, ["l_partkey", "l_linestatus"], targets_of(lines)).select("l_partkey", "l_linestatus", "metric", "gap_pct"), "gaps")
+    fr = _vector_frames(spark, sf, 64)
+    pairs = compare.log_spectral_distance(compare.frame_pairs(fr.filter("side = 0"), fr.filter("side = 1"), ["pair_id"]))
+    lsd = kept(pairs.select(F.floor(F.col("pair_id") / 2).alias("l_partkey"), (F.col("pair_id") % 2).alias("run"), "lsd"), "lsd")
+    out = compare.variant_summary(gaps.filter("l_linestatus = 'F'"), gaps.filter("l_linestatus = 'O'"), lsd.filter("run = 0"), lsd.filter("run = 1"), ["l_partkey"])
+    return out.select("l_partkey", "metric", *[rnd(F.col(c), 4).alias(c) for c in ("before", "after", "delta")], "trend")
+
+
 _STEPS = {"A": 6.0, "N": -6.0, "R": 4.0}
 
 
@@ -354,9 +380,9 @@ _ORD = {
 
 
 def _alignment(spark, sf):
-    seg = segments(spark, sf)
+    seg = kept(segments(spark, sf), "segments")
     placed = with_position(seg, ["series_id", "kind"], ["start_idx"], "block", "ordinal")
-    named = placed.withColumn("label", F.concat(F.lit("w"), F.col("start_idx").cast("string")))
+    named = kept(placed, "placed").withColumn("label", F.concat(F.lit("w"), F.col("start_idx").cast("string")))
     side = lambda n, kind: named.filter((F.col("series_id") % 2 == n) & (F.col("kind") == kind)).withColumn(
         "series_id", F.floor(F.col("series_id") / 2)
     )
@@ -495,10 +521,10 @@ def _vector_frames(spark, sf, dims: int):
 
 @query(
     "mel_cepstral_distance",
-    with_sql(_FRAMES, f"SELECT pair_id, {r('avg(sqrt(list_sum([pow(p - y[i], 2) for p, i in x[1:24]]) / 24))', 6)} AS mcd FROM j GROUP BY pair_id"),
+    with_sql(_FRAMES, f"SELECT pair_id, {r('avg(sqrt(list_sum([pow(p - y[i], 2) for p, i in x]) / 24))', 6)} AS mcd FROM j GROUP BY pair_id"),
 )
 def mel_cepstral_distance(spark, sf):
-    fr = _vector_frames(spark, sf, 24)
+    fr = _vector_frames(spark, sf, 64)
     pairs = compare.frame_pairs(fr.filter("side = 0"), fr.filter("side = 1"), ["pair_id"])
     return compare.mel_cepstral_distance(pairs, ["pair_id"]).withColumn("mcd", rnd(F.col("mcd"), 6))
 
