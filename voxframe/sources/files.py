@@ -94,6 +94,11 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
 
 
+def parse_json(docs: DataFrame, schema: str, keys: Sequence[str], column: str = "value") -> DataFrame:
+    """JSON texts of a column as rows of a fixed schema, with their keys; what cannot be read gives nulls."""
+    return docs.select(*keys, F.from_json(column, schema).alias("_doc")).select(*keys, "_doc.*")
+
+
 def parse_transcripts(lines: DataFrame, line: str = "value", order: str = "line_no") -> DataFrame:
     """``clip|text`` lines; split at the first pipe, the last duplicate wins."""
     piped = lines.filter(F.col(line).contains("|"))
@@ -108,12 +113,16 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return parse_transcripts(lines.select(F.struct("file", "line_no").alias("line_no"), "value"))
 
 
+def timeline_rows(doc: DataFrame, keys: Sequence[str] = ("file",)) -> tuple[DataFrame, DataFrame]:
+    """Words and pauses of parsed timelines, one row each."""
+    words = doc.select(*keys, F.posexplode("words").alias("ordinal", "w")).select(*keys, "ordinal", "w.*")
+    pauses = doc.select(*keys, F.posexplode("pauses").alias("ordinal", "p")).select(*keys, "ordinal", "p.*")
+    return words, pauses
+
+
 def read_timeline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Reference words and pauses, one row each."""
-    doc = _json(spark, path, TIMELINE)
-    words = doc.select("file", F.posexplode("words").alias("ordinal", "w")).select("file", "ordinal", "w.*")
-    pauses = doc.select("file", F.posexplode("pauses").alias("ordinal", "p")).select("file", "ordinal", "p.*")
-    return words, pauses
+    return timeline_rows(_json(spark, path, TIMELINE))
 
 
 def _long(doc: DataFrame, fields: Sequence[tuple[str, str]], keys: Sequence[str]) -> DataFrame:
@@ -121,27 +130,36 @@ def _long(doc: DataFrame, fields: Sequence[tuple[str, str]], keys: Sequence[str]
     return doc.select(*keys, F.inline(rows))
 
 
-def read_targets(spark: SparkSession, path: str) -> DataFrame:
+def target_rows(doc: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
     """Metric targets in long form; a missing field is 0."""
-    return _long(_json(spark, path, TARGET), TARGET_FIELDS, ["file"])
+    return _long(doc, TARGET_FIELDS, keys)
+
+
+def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    return target_rows(_json(spark, path, TARGET))
 
 
 def read_legacy_targets(spark: SparkSession, path: str) -> DataFrame:
     return _long(_json(spark, path, LEGACY_TARGET), LEGACY_FIELDS, ["file"])
 
 
+def snapshot_rows(doc: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    gaps = doc.select(*keys, "timestamp", F.col("meanGapPct").alias("mean_gap_pct"), F.inline("phraseGaps"))
+    return gaps.withColumnRenamed("gapPct", "gap_pct")
+
+
 def read_gap_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    doc = _json(spark, path, GAP_SNAPSHOT)
-    return doc.select("timestamp", F.col("meanGapPct").alias("mean_gap_pct"), F.inline("phraseGaps")).withColumnRenamed(
-        "gapPct", "gap_pct"
-    )
+    return snapshot_rows(_json(spark, path, GAP_SNAPSHOT))
+
+
+def manifest_rows(doc: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
+    """Beats of parsed manifests; the voice is English unless one is named."""
+    beats = doc.select(*keys, "title", F.coalesce("voice", F.lit("en")).alias("voice"), "model", F.posexplode("beats").alias("idx", "b"))
+    return beats.select(*keys, "title", "voice", "model", "idx", "b.shade", "b.text")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    doc = _json(spark, path, MANIFEST)
-    return doc.select(
-        "file", "title", F.coalesce("voice", F.lit("en")).alias("voice"), "model", F.posexplode("beats").alias("idx", "b")
-    ).select("file", "title", "voice", "model", "idx", "b.shade", "b.text")
+    return manifest_rows(_json(spark, path, MANIFEST))
 
 
 def parse_presets(docs: DataFrame, column: str = "value") -> DataFrame:
@@ -207,11 +225,13 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("file", F.input_file_name())
 
 
+def track_rows(doc: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
+    tracks = doc.select(*keys, "phrase", "model", "saved_at", F.posexplode("tracks").alias("track_no", "t"))
+    return tracks.select(*keys, "phrase", "model", "saved_at", "track_no", "t.*")
+
+
 def read_session_tracks(spark: SparkSession, path: str) -> DataFrame:
-    doc = _json(spark, path, SESSION_FILE)
-    return doc.select("file", "phrase", "model", "saved_at", F.posexplode("tracks").alias("track_no", "t")).select(
-        "file", "phrase", "model", "saved_at", "track_no", "t.*"
-    )
+    return track_rows(_json(spark, path, SESSION_FILE))
 
 
 def append_ledger(receipts: DataFrame, path: str) -> None:
