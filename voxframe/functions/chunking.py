@@ -145,3 +145,30 @@ class Joint:
         elif self.flush >= 0:
             out.append((left, self.flush))
         return [(self.block, i, chunk, free) for i, (chunk, free) in enumerate(c for c in out if _large(c[0]))]
+
+
+class Unit:
+    """A unit that is seen whole; rows are (row id, number, chunk)."""
+
+    def __init__(self) -> None:
+        self.cutter, self.no = Cutter(), 0
+        self.flush: tuple[int, object] = (-1, None)
+
+    def _row(self, chunk: str, free: object) -> list[tuple]:
+        chunk = chunk.strip()
+        if not _large(chunk):
+            return []
+        self.no += 1
+        return [(free, self.no - 1, chunk)]
+
+    def feed(self, pos: int, own_id: object, text: str, flush: int, free: int, flush_id: object, free_id: object) -> list[tuple]:
+        self.flush = (flush, flush_id)
+        at = free_id if free > pos else own_id
+        out = []
+        for _, _, chunk, *_ in self.cutter.feed(pos, text):
+            out += self._row(chunk, at)
+        return out
+
+    def rest(self) -> list[tuple]:
+        flush, at = self.flush
+        return self._row("".join(self.cutter.texts), at) if flush >= 0 else []

@@ -50,9 +50,9 @@ def distance(a: Sequence[str], b: Sequence[str], bits: int = BITS) -> int:
 @F.pandas_udf(LongType())
 def _distances(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
-        yield pd.Series([None if a is None or b is None else distance(list(a), list(b)) for a, b in zip(left, right)], dtype="Int64")
+        yield pd.Series([None if a is None or b is None else distance(a.split(" "), b.split(" ")) if a and b else a.count(" ") + b.count(" ") + (a != b) for a, b in zip(left, right)], dtype="Int64")
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance of two word arrays; null if one of them is."""
-    return _distances(reference, hypothesis)
+    """Edit distance of two arrays of words without spaces; null if one of them is."""
+    return _distances(F.array_join(reference, " "), F.array_join(hypothesis, " "))

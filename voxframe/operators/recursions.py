@@ -97,6 +97,11 @@ def _fields(df: DataFrame, columns: Sequence[str], more: str) -> T.StructType:
     return T.StructType([*(df.schema[c] for c in columns), *(T._parse_datatype_string(more).fields if more else [])])
 
 
+def _one_block(df: DataFrame, block: str) -> bool:
+    """Whether all rows are of one block, so that nothing is carried between blocks."""
+    return df.select(block).distinct().limit(2).count() < 2
+
+
 def pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str, value: str, marked: Column, limit: float, name: str = "home") -> DataFrame:
     """Add the block in which the row's piece begins.
 
@@ -192,22 +197,13 @@ def emotion_states(readings: DataFrame, keys: Sequence[str], row_id: str, block:
     """
     gap = tr.HALF_LIFE_MS * math.log2(1.0 / tr.INTENSITY_FLOOR)
     used = kept(readings.select(*keys, block, row_id, F.col("ts_ms").cast("double").alias("ts_ms"), "emotion", F.col("confidence").cast("double").alias("confidence")), "readings")
-    cut = pieces(used, keys, ["ts_ms", row_id], block, "ts_ms", F.lit(True), gap)
-    rows = kept(cut.select(*keys, "home", "ts_ms", row_id, "emotion", "confidence"), "pieces")
+    columns = [*keys, "home", "ts_ms", row_id, "emotion", "confidence"]
+    if _one_block(used, block):
+        rows = used.withColumnRenamed(block, "home").select(columns)
+    else:
+        rows = kept(pieces(used, keys, ["ts_ms", row_id], block, "ts_ms", F.lit(True), gap).select(columns), "pieces")
     group = [*keys, "home"]
 
-    # maps are needed of blocks that another of their series follows
-    last = rows.groupBy(*keys).agg(F.max("home").alias("_last"))
-    followed = _attach(rows, last, keys).where(~F.col("home").eqNullSafe(F.col("_last"))).drop("_last")
-    maps = in_groups(
-        followed, group, ["ts_ms", row_id], _Reactions, lambda s, r: s.add(r[0], r[2], r[3]) or [], lambda s: [s.row()], _fields(rows, group, _REACTIONS)
-    )
-    nothing = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in T._parse_datatype_string(_REACTIONS).fields)
-    ends = last.selectExpr(*keys, "_last AS home", *nothing.split(", "))
-    entries = in_groups(
-        maps.unionByName(ends), keys, ["home"], lambda: [None, None, None], _pass_on, lambda s: [], _fields(rows, group, "emotion string, intensity double, half double")
-    )
-
     def begin() -> list:
         return ["neutral", 0.0, -math.inf, tr.HALF_LIFE_MS]
 
@@ -216,15 +212,33 @@ def emotion_states(readings: DataFrame, keys: Sequence[str], row_id: str, block:
         if source == 0:
             s[0], s[1], s[3] = mood, sure, now
             return []
+        if not 0.0 <= sure <= 1.0:
+            raise ValueError(f"a confidence of {sure} is not in 0..1")
         level = _react(s, now, mood, sure)
         return [(own, s[0], s[1], s[3], level)]
 
-    entered = entries.select(*keys, "home", F.lit(0).alias("_src"), F.col("half").alias("ts_ms"), F.lit(None).cast(rows.schema[row_id].dataType).alias(row_id), "emotion", F.col("intensity").alias("confidence"))
-    both = rows.select(*keys, "home", F.lit(1).alias("_src"), "ts_ms", row_id, "emotion", "confidence").unionByName(entered)
+    own = rows.select(*keys, "home", F.lit(1).alias("_src"), "ts_ms", row_id, "emotion", "confidence")
     out = _fields(rows, group, "").add(rows.schema[row_id])
     for name, kind in (("state_emotion", "string"), ("state_intensity", "double"), ("half_life_ms", "double"), ("current_intensity", "double")):
         out = out.add(name, kind)
-    return in_groups(both, group, ["_src", "ts_ms", row_id], begin, step, lambda s: [], out).drop("home")
+
+    # maps are needed of blocks that another of their series follows
+    last = rows.groupBy(*keys).agg(F.min("home").alias("_first"), F.max("home").alias("_last"))
+    if last.where("_first < _last").isEmpty():
+        return in_groups(own, group, ["_src", "ts_ms", row_id], begin, step, lambda s: [], out).drop("home")
+    last = last.drop("_first")
+    followed = _attach(rows, last, keys).where(~F.col("home").eqNullSafe(F.col("_last"))).drop("_last")
+    maps = in_groups(
+        followed, group, ["ts_ms", row_id], _Reactions, lambda s, r: s.add(r[0], r[2], r[3]) or [], lambda s: [s.row()], _fields(rows, group, _REACTIONS)
+    )
+    nothing = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in T._parse_datatype_string(_REACTIONS).fields)
+    ends = last.selectExpr(*keys, "_last AS home", *nothing.split(", "))
+    entries = in_groups(
+        maps.unionByName(ends), keys, ["home"], lambda: [None, None, None], _pass_on, lambda s: [], _fields(rows, group, "emotion string, intensity double, half double")
+    )
+
+    entered = entries.select(*keys, "home", F.lit(0).alias("_src"), F.col("half").alias("ts_ms"), F.lit(None).cast(rows.schema[row_id].dataType).alias(row_id), "emotion", F.col("intensity").alias("confidence"))
+    return in_groups(own.unionByName(entered), group, ["_src", "ts_ms", row_id], begin, step, lambda s: [], out).drop("home")
 
 
 # ---- cool-down
@@ -376,17 +390,31 @@ def session_chunks(events: DataFrame, keys: Sequence[str], order: Sequence[str],
         F.max_by(F.when(~turns | (F.col("type") == "message_end"), F.col("on")), F.when(~turns | (F.col("type") == "message_end"), F.col("pos"))).alias("open"),
         F.coalesce(F.max(F.when(turns & (F.col("type") == "message_end"), F.col("pos"))), F.lit(-1)).alias("flush"),
         F.coalesce(F.max(F.when(F.col("_up"), F.col("pos"))), F.lit(-1)).alias("free"),
+        F.max_by(row_id, F.when(turns & (F.col("type") == "message_end"), F.col("pos"))).alias("flush_id"),
+        F.max_by(row_id, F.when(F.col("_up"), F.col("pos"))).alias("free_id"),
         F.min(block).alias("_lo"),
         F.max(block).alias("_hi"),
     )
-    said = rows.where(F.col("type") == "delta").select(*keys, "unit", block, "pos", F.coalesce("text", F.lit("")).alias("text"))
-    said = _attach(said, fate, [*keys, "unit"]).where("open").select(*keys, "unit", block, "pos", "text", (F.col("_lo") != F.col("_hi")).alias("spread"))
-    said = kept(said, "said")
+    said = rows.where(F.col("type") == "delta").select(*keys, "unit", block, "pos", row_id, F.coalesce("text", F.lit("")).alias("text"))
+    said = _attach(said, fate, [*keys, "unit"]).where("open")
+    said = kept(said.select(*keys, "unit", block, "pos", row_id, "text", "flush", "free", "flush_id", "free_id", (F.col("_lo") != F.col("_hi")).alias("spread")), "said")
     part = [*keys, "unit", block]
+    shown = [*keys, row_id, "chunk_idx", "chunk"]
+
+    # units of one block are cut at once
+    def cut_whole(s: chunking.Unit, row: Row) -> list[Row]:
+        return s.feed(*row)
+
+    alone = said.where("NOT spread").select(*keys, "unit", "pos", row_id, "text", "flush", "free", "flush_id", "free_id")
+    id_kind = said.schema[row_id].dataType.simpleString()
+    done = in_groups(alone, [*keys, "unit"], ["pos"], chunking.Unit, cut_whole, lambda s: s.rest(), _fields(said, [*keys, "unit"], f"{row_id} {id_kind}, chunk_idx bigint, chunk string")).select(shown)
+    said = said.where("spread").drop("flush", "free", "flush_id", "free_id", row_id)
+    if said.isEmpty():
+        return done
 
     # the state in which each part of a unit of several blocks begins
     marks = in_groups(
-        said.where("spread").select(*part, "pos", "text"), part, ["pos"], chunking.CodeMap, lambda s, r: s.add(r[1]) or [], lambda s: [(s.exits,)], _fields(said, part, "exits array<int>")
+        said.select(*part, "pos", "text"), part, ["pos"], chunking.CodeMap, lambda s, r: s.add(r[1]) or [], lambda s: [(s.exits,)], _fields(said, part, "exits array<int>")
     )
 
     def pass_on(state: list, row: Row) -> list[Row]:
@@ -444,7 +472,7 @@ def session_chunks(events: DataFrame, keys: Sequence[str], order: Sequence[str],
     same = F.col("pos") == F.col("_pos")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return numbered.join(at, same).select(*keys, row_id, F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk")
+    return done.unionByName(numbered.join(at, same).select(*keys, row_id, F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "chunk"))
 
 
 # ---- distinct regions
