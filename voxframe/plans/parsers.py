@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from voxframe.functions import scalar
+from voxframe.functions import scalar, tables
 from voxframe.functions.scalar import rnd
 from voxframe.operators import compare, sessions
 from voxframe.operators import text as ops
-from voxframe.plans.registry import query, rnd_sql as r, table, with_sql
+from voxframe.plans.registry import ORACLES, query, rnd_sql as r, table, with_sql
+from voxframe.plans.trials import _KNOBS, measured_knobs
 from voxframe.session import shared_dir
 from voxframe.sources import files
 
@@ -188,3 +189,33 @@ def own_annotator(spark, sf):
 
     annotate: ops.Annotator = strategy
     return annotate(table(spark, sf, "conversations").where("text IS NOT NULL")).select("conv_id", "turn", "annotated")
+
+
+@query(
+    "own_policy",
+    "WITH base AS ("
+    + ORACLES["correct_knobs"]
+    + "), m AS (SELECT l_partkey, -avg(l_quantity) / 2 AS loudness_db FROM lineitem GROUP BY l_partkey) "
+    + f"SELECT l_partkey, {r('CASE WHEN {0} - loudness_db > 0 THEN {1}::DOUBLE + 1 ELSE new_presence_db END', 5)} AS new_presence_db FROM base JOIN m USING (l_partkey)".format(
+        tables.CONTROLLER["targets"]["loudness_db"], _KNOBS["presence_db"]
+    ),
+)
+def own_policy(spark, sf):
+    """A policy raises the presence of quiet takes; elsewhere it has no say and the built-in rule applies."""
+    policy = lambda err, knobs: {"presence_db": F.when(err["loudness_db"] > 0, knobs["presence_db"] + 1.0)}
+    out = compare.correct_knobs(measured_knobs(spark, sf), policy=policy)
+    return out.select("l_partkey", rnd(F.col("new_presence_db"), 5).alias("new_presence_db"))
+
+
+@query(
+    "own_palette",
+    f"SELECT s_suppkey AS beat, {r('CASE WHEN s_suppkey % 3 = 0 THEN 0.5 ELSE n_nationkey / 25.0 END', 4)} AS exaggeration, {r('CASE WHEN s_suppkey % 3 = 0 THEN 0.8 ELSE 0.25 END', 4)} AS temperature FROM supplier JOIN nation ON n_nationkey = s_nationkey",
+)
+def own_palette(spark, sf):
+    """Nations as a palette of shades; a shade that it does not have takes the defaults."""
+    nations = table(spark, sf, "nation")
+    shades = nations.select(F.lower("n_name").alias("shade"), (F.col("n_nationkey") / 25.0).alias("exaggeration"), F.lit(0.5).alias("cfg_weight"), F.lit(0.25).alias("temperature"))
+    named = table(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    beats = named.select(F.col("s_suppkey").alias("beat"), F.when(F.col("s_suppkey") % 3 == 0, "no such shade").otherwise(F.col("n_name")).alias("shade"))
+    out = ops.resolve_shades(beats, shades)
+    return out.select("beat", rnd(F.col("exaggeration"), 4).alias("exaggeration"), rnd(F.col("temperature"), 4).alias("temperature"))

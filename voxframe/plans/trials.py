@@ -601,16 +601,20 @@ _MEASURED_SQL = (
 )
 
 
-@query("correct_knobs", _controller_sql())
-def correct_knobs(spark, sf):
+def measured_knobs(spark, sf):
+    """Measured columns of each part with the knobs as they stand."""
     measured = table(spark, sf, "lineitem").groupBy("l_partkey").agg(
         (F.avg("l_extendedprice") / 20).alias("brightness_hz"),
         (-F.avg("l_quantity") / 2).alias("loudness_db"),
         (F.avg(F.col("l_extendedprice") * F.col("l_discount")) / 900).alias("bass_balance_db"),
         (-F.avg("l_tax") * 160).alias("vocal_darkness_db_oct"),
     )
-    based = measured.select("*", *[F.lit(v).alias(k) for k, v in _KNOBS.items()])
-    out = compare.correct_knobs(based)
+    return measured.select("*", *[F.lit(v).alias(k) for k, v in _KNOBS.items()])
+
+
+@query("correct_knobs", _controller_sql())
+def correct_knobs(spark, sf):
+    out = compare.correct_knobs(measured_knobs(spark, sf))
     return out.select(
         "l_partkey", *[rnd(F.col(c), 5).alias(c) for k in _KNOBS for c in (f"new_{k}", f"delta_{k}")]
     )
