@@ -18,9 +18,8 @@ from voxframe.streaming.stateful import ROCKSDB
 
 
 def _run(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, output: T.StructType, mode: str) -> DataFrame:
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    if df.sparkSession.conf.get(provider) != ROCKSDB:
-        raise ValueError(f"set {provider} to {ROCKSDB}: these states need it")
+    # map and list state exist in this store alone
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode=mode)
 
 
