@@ -1,13 +1,17 @@
 """Operators of the training-data subpackage: brute force, round trips and edge cases."""
 
 import base64
+import glob
+import gzip
 import hashlib
 import itertools
 import os
 import random
+import struct
 import subprocess
 import sys
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -508,13 +512,13 @@ def test_warc(spark, compression):
     rows = [(1, "http://a", inner), (2, "b", inner), (3, "c", None), (4, None, ""), (None, "u", "zz"), (5, "u", "zz"), (6, "a\r\nX: y", "WARC/1.0\r\n" * 3), (7, "u", "long " * 5000), (8, "u", "z"), (8, "u", "z")]
     rows += [(100 + i, "w", f"page {i % 40} " * (i % 30)) for i in range(150)]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
         for least in (0, 3):
             folder = f"{spark.conf.get('spark.checkpoint.dir')}/warc-{uuid.uuid4().hex}"
             warc.write_archives(frame(spark, rows, "page_id long, url string, html string").coalesce(2), folder, min_bytes=least, compression=compression)
-            got = warc.page_records(warc.read_archives(spark, folder)).collect()
+            got = warc.page_records(warc.read_archives(spark, folder, compression, stretch_bytes=2500)).collect()
             assert len(got) == len(rows) and all(r.intact for r in got)
             digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
             first = {}
@@ -536,6 +540,47 @@ def test_warc(spark, compression):
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
 
 
+def packed(record, level=6):
+    """A gzip member with its length in the field sl, made without the operator."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    data = packer.compress(record) + packer.flush()
+    head = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff\x0c\x00sl\x08\x00" + struct.pack("<II", 32 + len(data), len(record))
+    return head + data + struct.pack("<II", zlib.crc32(record), len(record))
+
+
+def warc_record(number, payload):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    digest = base64.b32encode(hashlib.sha1(payload).digest())
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n"
+    return head % (number, digest, len(block)) + block + b"\r\n\r\n"
+
+
+def test_warc_members_inside_payloads(spark, tmp_path):
+    """A whole member that lies uncompressed in a payload, and a mere magic, are no records."""
+    forged = packed(warc_record(999, b"forged"))
+    payloads = [b"first", b"x" + forged + b"y" + forged, b"\x1f\x8b\x08\x04", b"last" * 2000]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_bytes(b"".join(packed(warc_record(i, p), 0) for i, p in enumerate(payloads)))
+    records = warc.read_archives(spark, str(tmp_path), stretch_bytes=300)
+    got = warc.page_records(records).collect()
+    want = [(i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), True) for i, p in enumerate(payloads)] * 2
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.intact) for r in got) == sorted(want)
+
+
+def test_warc_is_readable_gzip(spark, tmp_path):
+    """Any gzip reader gives the records in order; a record of over 16 MB needs an empty member behind it."""
+    html = ["short", "é" * 9_000_000, None]
+    folder = str(tmp_path / "out")
+    warc.write_archives(spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string"), folder)
+    text = b"".join(gzip.decompress(open(f, "rb").read()) for f in glob.glob(f"{folder}/part-*"))
+    assert text.count(b"WARC/1.0\r\n") == 3 and text.endswith(b"\r\n\r\n") and html[1].encode() in text
+    got = {r.page_id: r for r in warc.page_records(warc.read_archives(spark, folder)).collect()}
+    assert {i: r.payload_bytes for i, r in got.items()} == {0: 5, 1: 18_000_000, 2: 0} and all(r.intact for r in got.values())
+    empty = str(tmp_path / "empty")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
+    assert warc.read_archives(spark, empty).count() == 0
+
+
 def test_pipeline_stages(spark):
     """Each stage against brute force on its own input."""
     labels = read_table(spark, SF, "labels")

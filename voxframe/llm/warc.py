@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Iterator
+import struct
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.llm.common import run_of, small_side, stored
@@ -18,6 +19,9 @@ from voxframe.llm.common import run_of, small_side, stored
 # fixed values of the format
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
+# a gzip member with an extra field; the extra field "sl" holds the member's own and the record's length
+MEMBER = b"\x1f\x8b\x08\x04"
+MEMBER_HEAD = "<IBBH2sHII"
 BASE32, BASE32_HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
@@ -28,6 +32,22 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), BASE32_HEX, BASE32)
 
 
+def _member(record: bytes) -> bytes:
+    """A gzip member of one record. Its last byte, the top of the record's length, is 0; a record of over 16 MB gets an empty member behind it for that."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = packer.compress(record) + packer.flush()
+    head = len(MEMBER) + struct.calcsize(MEMBER_HEAD)
+    whole = MEMBER + struct.pack(MEMBER_HEAD, 0, 0, 255, 12, b"sl", 8, head + len(body) + 8, len(record)) + body + struct.pack("<II", zlib.crc32(record), len(record))
+    return whole if whole[-1] == 0 else whole + _member(b"")
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        # the writer of lines adds the last byte again
+        for record in batch.column(0).cast(pa.large_binary()):
+            yield pa.RecordBatch.from_arrays([pa.array([_member(record.as_py())[:-1]], pa.binary())], ["member"])
+
+
 def write_archives(
     pages: DataFrame,
     folder: str,
@@ -44,11 +64,14 @@ def write_archives(
     The others are revisits: they refer to it and hold no payload, only the HTTP head with its
     length. Null html is an empty payload. A null id is written as its payload's hash; it is
     never referred to while another id has the payload. Rows that repeat id and payload are
-    both responses. Line breaks in a url become spaces. Compressed files are read whole by
-    one task each, so records_per_file bounds them; plain ones ("none") are split. The smallest ids are found on narrow
-    rows, pre-aggregated; pages meet them by run and digest, so copies of one payload are
-    spread over the runs.
+    both responses. Line breaks in a url become spaces. With "gzip" each record is a gzip member
+    of its own, whose extra field "sl" states the member's length; with "none" records are plain.
+    Files of both kinds are split when read. The smallest ids are found on narrow rows,
+    pre-aggregated; pages meet them by run and digest, so copies of one payload are spread over
+    the runs.
     """
+    if compression not in ("gzip", "none"):
+        raise ValueError(f"compression must be gzip or none, not {compression}")
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
@@ -82,7 +105,12 @@ def write_archives(
         F.lit(END),
         block,
     )
-    joined.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(folder)
+    if compression == "gzip":
+        members = joined.select(F.concat(record, F.lit(END)).cast("binary").alias("value")).mapInArrow(_members, "member binary")
+        lines, separator = members.select(F.col("member").cast("string").alias("value")), "\0"
+    else:
+        lines, separator = joined.select(record.alias("value")), END
+    lines.write.option("lineSep", separator).option("maxRecordsPerFile", records_per_file).option("compression", "none").text(folder)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -127,29 +155,66 @@ def _record(chunk: bytes) -> tuple:
     )
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each magic of a split, with offsets from the split's first magic or the file's start."""
+def _packed(chunk: bytes) -> tuple:
+    """As _record, of the bytes after a member's magic. An empty member has a next record, but is none."""
+    room = struct.calcsize(MEMBER_HEAD)
+    if len(chunk) < room:
+        return (None,) * 8 + (False,)
+    *_, extra, name, size, length, _ = struct.unpack(MEMBER_HEAD, chunk[:room])
+    if (extra, name, size) != (12, b"sl", 8):
+        return (None,) * 8 + (False,)
+    if len(MEMBER) + len(chunk) < length:
+        return (length, *(None,) * 7, False)
+    try:
+        record = zlib.decompress(chunk[room : length - len(MEMBER) - 8], -zlib.MAX_WBITS)
+    except zlib.error:
+        return (None,) * 8 + (False,)
+    if not record:
+        return (length, *(None,) * 7, True)
+    if not record.startswith(MAGIC.encode()):
+        return (None,) * 8 + (False,)
+    return (length, *_record(record[len(MAGIC) :])[1:])
+
+
+def _starts(batches: Iterator[pa.RecordBatch], magic: int) -> Iterator[list[tuple]]:
+    """(file, split, start, size, stands before the file's first magic, bytes after the magic) of each piece, offsets from the split's first magic."""
     at: dict[tuple[str, int], int] = {}
     for batch in batches:
-        rows = []
+        out = []
         values = batch.column("value").cast(pa.large_binary())
         for value, file, block in zip(values, batch.column("file").to_pylist(), batch.column("block").to_pylist()):
             chunk = value.as_py()
             # what stands before a file's first magic has none of its own
             first = block == 0 and (file, block) not in at
             start = at.get((file, block), 0)
-            size = len(chunk) + (0 if first else len(MAGIC))
+            size = len(chunk) + (0 if first else magic)
             at[file, block] = start + size
-            step, *rest = (None,) * 8 + (False,) if first else _record(chunk)
-            rows.append((file, block, start, None if step is None else start + step, size, *rest))
-        names = [x.split()[0] for x in CANDIDATE.split(", ")]
-        kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-        types = [kinds[x.split()[1]] for x in CANDIDATE.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+            out.append((file, block, start, size, first, chunk))
+        yield out
+
+
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+def _candidates(magic: int, record: Callable[[bytes], tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each magic of a split, with offsets from the split's first magic or the file's start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pieces in _starts(batches, magic):
+            rows = []
+            for file, block, start, size, first, chunk in pieces:
+                step, *rest = (None,) * 8 + (False,) if first else record(chunk)
+                rows.append((file, block, start, None if step is None else start + step, size, *rest))
+            yield _arrow(rows, CANDIDATE)
+
+    return run
 
 
 def _exits(rows: pd.DataFrame) -> pd.DataFrame:
-    """Where the chain that begins at each candidate leaves the split (the first boundary that is no candidate of it)."""
+    """Where the chain that begins at each candidate leaves the stretch (the first boundary that is no candidate of it)."""
     rows = rows.sort_values("start")
     known: dict[int, int] = {}
     for start, nxt in zip(rows["start"].to_numpy()[::-1], rows["next"].to_numpy()[::-1]):
@@ -159,78 +224,81 @@ def _exits(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _walk(entries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """The candidates of a split that the chain reaches from its entry."""
+    """The candidates of a stretch that the chain reaches from its entry."""
     nexts = {s: n for s, n in zip(rows["start"], rows["next"]) if not np.isnan(n)}
     kept = []
     for at in entries["entry"]:
         while at in nexts:
             kept.append(at)
             at = int(nexts[at])
-    file, block = (rows["file"].iloc[0], rows["block"].iloc[0]) if len(rows) else (None, None)
-    return pd.DataFrame({"file": file, "block": block, "start": np.array(sorted(set(kept)), np.int64)})
+    file, stretch = (rows["file"].iloc[0], rows["stretch"].iloc[0]) if len(rows) else (None, None)
+    return pd.DataFrame({"file": file, "stretch": stretch, "start": np.array(sorted(set(kept)), np.int64)})
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, compression: str = "gzip", stretch_bytes: int = 1 << 20) -> DataFrame:
     """(file, start, kind, record_id, uri, refers, stated, length, digest) of the records of all files.
 
-    Files are cut at every magic, which also cuts inside payloads that hold one. Each task
-    states, for every magic of its split, where the next record must begin; pointer jumping
-    from the start of each file keeps the records that are reached and rejects the others. A
-    chain is first shortened to one pointer per split, so rounds grow with the logarithm of
-    the splits of a file, not of its records. A record that holds a magic is put together
-    again from its pieces. A record that ends beyond its file is reached but has no digest.
+    Files are cut at every magic (of a record, or of a gzip member with an extra field), which
+    also cuts inside payloads that hold one. Each task states, for every magic of its split,
+    where the next record must begin; pointer jumping from the start of each file keeps the
+    records that are reached and rejects the others. A chain is first shortened to one pointer
+    for each stretch of a file, so rounds grow with the logarithm of a file's stretches, not of
+    its records, and no task holds the candidates of more than stretch_bytes. A record that
+    holds a magic is put together again from its pieces. A record that ends beyond its file is
+    reached but has no digest. Members without the field "sl" end the chain of their file.
     """
-    raw = spark.read.option("lineSep", MAGIC).text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    local = stored(raw.mapInArrow(_candidates, CANDIDATE), "candidates")
-    # offsets of a split follow from the bytes of the splits before it
-    before = local.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
-    earlier = before.select("file", F.col("block").alias("early"), "bytes").join(before.select("file", "block"), "file").where("early < block")
-    base = before.select("file", "block").join(earlier.groupBy("file", "block").agg(F.sum("bytes").alias("base")), ["file", "block"], "left").na.fill(0, ["base"])
-    placed = stored(local.join(base, ["file", "block"]).withColumn("start", F.col("start") + F.col("base")).withColumn("next", F.col("next") + F.col("base")).drop("base"), "placed")
-    narrow = placed.select("file", "block", "start", "next")
-    splits = before.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    reached = placed.select("file").distinct().select("file", F.lit(0).cast("long").alias("start"))
-    if splits > 1:
-        jump = stored(narrow.groupBy("file", "block").applyInPandas(_exits, "file string, start long, leave long"), "exits")
-        for _ in range(int(splits - 1).bit_length()):
-            ahead = reached.join(jump, ["file", "start"]).select("file", F.col("leave").alias("start"))
-            reached = stored(reached.unionByName(ahead).distinct(), "reached")
-            onward = jump.select("file", F.col("start").alias("leave"), F.col("leave").alias("then"))
-            jump = stored(jump.join(onward, ["file", "leave"]).select("file", "start", F.col("then").alias("leave")), "exits")
-    entries = reached.join(narrow, ["file", "start"]).select(F.col("file").alias("in_file"), F.col("block").alias("in_block"), F.col("start").alias("entry"))
-    chain = entries.groupBy("in_file", "in_block").cogroup(narrow.groupBy("file", "block")).applyInPandas(_walk, "file string, block long, start long")
-    # what stands before a file's first magic has no next record
-    records = stored(placed.where("next IS NOT NULL").join(chain, ["file", "block", "start"]).drop("block", "size"), "records")
+    magic, record = (MEMBER, _packed) if compression == "gzip" else (MAGIC.encode(), _record)
+    # one byte of the separator for each of its letters
+    lines = spark.read.option("lineSep", magic.decode("latin-1")).option("encoding", "ISO-8859-1").text(folder)
+    raw = lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    local = stored(raw.mapInArrow(_candidates(len(magic), record), CANDIDATE), "candidates")
+    # offsets of a split follow from the bytes of the splits before it: one row a split
+    sizes = local.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = stored(sizes.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base")), "bases")
+    start = F.col("start") + F.col("base")
+    placed = local.join(base, ["file", "block"]).withColumns({"start": start, "next": F.col("next") + F.col("base"), "stretch": F.floor(start / stretch_bytes)}).drop("base", "block", "size")
+    narrow = placed.select("file", "stretch", "start", "next")
+    exits = stored(narrow.groupBy("file", "stretch").applyInPandas(_exits, "file string, start long, leave long"), "exits")
+    begin = narrow.select("file").distinct().select("file", F.lit(0).cast("long").alias("start"))
+    # a chain enters a stretch only where one leaves another, or at the start
+    doors = exits.select("file", F.col("leave").alias("start")).unionByName(begin).distinct()
+    jump = stored(exits.join(doors, ["file", "start"], "left_semi"), "jumps")
+    reached = stored(begin, "reached")
+    stretches = narrow.agg(F.max("stretch")).first()[0] or 0
+    for _ in range(int(stretches).bit_length()):
+        ahead = reached.join(jump, ["file", "start"]).select("file", F.col("leave").alias("start"))
+        reached = stored(reached.unionByName(ahead).distinct(), "reached")
+        onward = jump.select("file", F.col("start").alias("leave"), F.col("leave").alias("then"))
+        jump = stored(jump.join(onward, ["file", "leave"]).select("file", "start", F.col("then").alias("leave")), "jumps")
+    entries = reached.join(narrow, ["file", "start"]).select(F.col("file").alias("in_file"), F.col("stretch").alias("in_stretch"), F.col("start").alias("entry"))
+    chain = entries.groupBy("in_file", "in_stretch").cogroup(narrow.groupBy("file", "stretch")).applyInPandas(_walk, "file string, stretch long, start long")
+    # what stands before a file's first magic has no next record, an empty member is none
+    found = placed.where("next IS NOT NULL AND (kind IS NOT NULL OR NOT whole)")
+    records = stored(found.join(chain, ["file", "stretch", "start"]).drop("stretch"), "records")
     cut = records.where("NOT whole")
     if not cut.isEmpty():
-        records = records.where("whole").unionByName(_joined(raw, base, cut))
+        records = records.where("whole").unionByName(_joined(raw, base, cut, magic, record))
     return records.drop("next", "whole")
 
 
-def _joined(raw: DataFrame, base: DataFrame, cut: DataFrame) -> DataFrame:
+def _joined(raw: DataFrame, base: DataFrame, cut: DataFrame, magic: bytes, record: Callable[[bytes], tuple]) -> DataFrame:
     """Records that were cut at a magic in their payload, from all pieces up to the next record."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[tuple[str, int], int] = {}
-        for batch in batches:
-            files, blocks = batch.column("file").to_pylist(), batch.column("block").to_pylist()
-            values = batch.column("value").cast(pa.large_binary()).to_pylist()
-            starts = []
-            for chunk, file, block in zip(values, files, blocks):
-                first = block == 0 and (file, block) not in at
-                starts.append(at.get((file, block), 0))
-                at[file, block] = starts[-1] + len(chunk) + (0 if first else len(MAGIC))
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(starts, pa.int64()), pa.array(values, pa.binary())], ["file", "block", "place", "piece"])
+        for parts in _starts(batches, len(magic)):
+            yield _arrow([(file, block, start, chunk) for file, block, start, _, _, chunk in parts], schema_of_pieces)
 
     def together(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place")
-        _, kind, record_id, uri, refers, stated, length, digest, whole = _record(MAGIC.encode().join(rows["piece"]))
+        _, *fields = record(magic.join(rows["piece"]))
         top = rows.iloc[0]
-        return pd.DataFrame([[top["file"], top["start"], top["next"], kind, record_id, uri, refers, stated, length, digest, whole]], columns=names)
+        return pd.DataFrame([[top["file"], top["start"], top["next"], *fields]], columns=names)
 
+    schema_of_pieces = "file string, block long, place long, piece binary"
     schema = "file string, start long, next long, kind string, record_id string, uri string, refers string, stated string, length long, digest string, whole boolean"
     names = [x.split()[0] for x in schema.split(", ")]
-    parts = raw.mapInArrow(pieces, "file string, block long, place long, piece binary").join(base, ["file", "block"]).withColumn("place", F.col("place") + F.col("base"))
+    parts = raw.mapInArrow(pieces, schema_of_pieces).join(base, ["file", "block"]).withColumn("place", F.col("place") + F.col("base"))
     inside = parts.join(small_side(cut.select("file", "start", "next")), "file").where("place >= start AND place < next").select("file", "start", "next", "place", "piece")
     return inside.groupBy("file", "start").applyInPandas(together, schema)
 
