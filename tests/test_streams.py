@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxframe.functions import steps
 from voxframe.functions.steps import sentence_chunker
 from voxframe.operators import ordered, sessions
 from voxframe.session import shared_dir
-from voxframe.streaming import followed, keyed, spend, stateful
+from voxframe.streaming import eventtime, followed, keyed, spend, stateful
 
 
 def batches(spark, df, order, parts, name):
@@ -235,3 +236,62 @@ def test_followed_log_keeps_the_order_of_lines(spark, tmp_path):
     last = {r.job: r for r in log.status().collect()}
     assert (last["a"].step, last["a"].state, last["a"].lines, last["b"].step) == (50, "failed", 804, 8)
     assert log.events().where("event = 'oom'").count() == 1
+
+
+def shuffled_in_time(spark, rows, schema, seed, parts=5, late_s=40):
+    """The rows as a stream that brings each up to late_s seconds late, and a last one of another key to end it."""
+    rng = random.Random(seed)
+    arrivals = sorted((r[1] + rng.random() * late_s, i) for i, r in enumerate(rows))
+    end = ("end", 9e8, *(None for _ in rows[0][2:]))
+    came = [(*rows[i], n) for n, (_, i) in enumerate(arrivals)] + [(*end, len(rows))]
+    df = spark.createDataFrame(came, f"{schema}, arrival long").withColumn("ts", F.timestamp_micros((F.col("secs") * 1_000_000).cast("bigint")))
+    return batches(spark, df, "arrival", parts, "intime").withWatermark("ts", f"{late_s + 1} seconds")
+
+
+def in_order(step, rows, keys=("k",)):
+    """The rule over each key's rows in one go."""
+    import pandas as pd
+
+    out = []
+    for key in sorted({r[0] for r in rows}):
+        mine = pd.DataFrame([dict(zip(("k", "secs", *keys), r)) for r in rows if r[0] == key])
+        out += [tuple(r) for r in step(None, mine)[0].itertuples(index=False)]
+    return sorted(out)
+
+
+def test_event_time_rules_take_rows_in_order(spark):
+    rng = random.Random(8)
+    stamps = [("ab"[i % 2], float(1000 + 10 * (i // 2))) for i in range(120)]
+    parts = ["Hello there. ", "wor", "ld `co", "de` and more! Next", "\n\nNew par", None, "```block\nx. y", "``` after. "]
+    rows = [(k, t, i, rng.choices(["delta", "message_end", "set_config", "reset"], [12, 2, 1, 0.3])[0], rng.choice(parts), rng.random() < 0.5) for i, (k, t) in enumerate(stamps)]
+    stream = shuffled_in_time(spark, rows, "k string, secs double, i long, type string, text string, enabled boolean", 1)
+    got = stateful.run_available(eventtime.sentence_chunks(stream, ["k"], "i")).collect()
+    want = in_order(sentence_chunker(["k"], "i"), rows, ("i", "type", "text", "enabled"))
+    assert sorted(map(tuple, got)) == want and len(want) > 10
+
+    rows = [(k, t, i, 1000.0 * t, rng.choice(["angry", "cute", "neutral"]), rng.choice([0.0, 0.25, 0.5, 1.0])) for i, (k, t) in enumerate(stamps)]
+    stream = shuffled_in_time(spark, rows, "k string, secs double, i long, ts_ms double, emotion string, confidence double", 2)
+    got = stateful.run_available(eventtime.emotion_states(stream, ["k"], "i")).collect()
+    assert sorted(map(tuple, got)) == in_order(steps.emotion_state(["k"], "i"), rows, ("i", "ts_ms", "emotion", "confidence"))
+
+
+def test_event_time_filler_utterances_and_replay(spark):
+    rng = random.Random(9)
+    stamps = [("ab"[i % 2], float(1000 + 10 * (i // 2))) for i in range(100)]
+    rows = [(k, t, i, rng.random() * 9000, rng.randrange(44, 200_000)) for i, (k, t) in enumerate(stamps)]
+    stream = shuffled_in_time(spark, rows, "k string, secs double, i long, rtt_ms double, audio_bytes long", 3)
+    got = stateful.run_available(eventtime.filler_plan(stream, ["k"], "i")).collect()
+    assert sorted(map(tuple, got)) == in_order(steps.filler(["k"], "i"), rows, ("i", "rtt_ms", "audio_bytes"))
+
+    limits = {"threshold": 0.5, "min_silence": 2, "min_speech": 2, "max_speech": 5}
+    rows = [(k, t, i // 2, rng.random() ** 0.5, i >= 98) for i, (k, t) in enumerate(stamps)]
+    stream = shuffled_in_time(spark, rows, "k string, secs double, frame_idx long, value double, flush boolean", 4)
+    got = stateful.run_available(eventtime.utterances(stream, ["k"], **limits)).collect()
+    want = in_order(steps.utterances(["k"], **limits), rows, ("frame_idx", "value", "flush"))
+    assert sorted(map(tuple, got)) == want and len(want) > 5
+
+    rows = [(k, t, i, "resume" if i % 10 > 7 else "chunk", i - 9 if i % 10 > 7 else i, f"t{i}") for i, (k, t) in enumerate(stamps)]
+    stream = shuffled_in_time(spark, rows, "k string, secs double, at long, type string, idx long, text string", 5)
+    got = stateful.run_available(eventtime.replayed(stream, ["k"], capacity=3)).collect()
+    want = in_order(steps.recent_log(["k"], 3), rows, ("at", "type", "idx", "text"))
+    assert sorted(map(tuple, got)) == want and len(want) > 20

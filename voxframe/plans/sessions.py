@@ -18,7 +18,7 @@ from voxframe.plans.dialogue import EMOTIONS, MESSAGE, MESSAGES, _LOG, messages
 from voxframe.plans.frames import FRAME_S, FRAMES, SEGMENTS, frames, segments
 from voxframe.plans.registry import query, rnd_sql as r, table, with_sql
 from voxframe.session import shared_dir
-from voxframe.streaming import followed, keyed, spend, stateful
+from voxframe.streaming import eventtime, followed, keyed, spend, stateful
 
 
 
@@ -695,3 +695,59 @@ def distinct_regions(spark, sf):
     )
     features = ["a", "b", "c", "d"]
     return sessions.distinct_regions(signal.min_max_normalise(trials, features, ["sweep"]), ["sweep"], "l_partkey", features)
+
+
+# ---- the session rules in event time: rows come in waves, up to five days out of order
+
+
+def _late_stream(rows: DataFrame, key: str) -> DataFrame:
+    """The rows as a stream in three waves by a shifted time, and a last row of no session that moves the watermark to the end."""
+    spark = rows.sparkSession
+    shifted = F.unix_micros("ts") / 1e6 + F.pmod(F.xxhash64("ts", key), F.lit(432_000))
+    edges = rows.agg(F.percentile_approx(shifted, [0.34, 0.67]).alias("q"), F.max("ts").alias("end")).first()
+    first, second = edges["q"] or [0.0, 0.0]
+    wave = F.when(shifted < first, 0).when(shifted < second, 1).otherwise(2)
+    end = spark.range(1).select(
+        *[(F.lit(edges["end"]) + F.expr("INTERVAL 100 DAYS") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields], F.lit(3).alias("wave")
+    )
+    folder = stateful.waves(rows.withColumn("wave", wave).unionByName(end), "wave", 4)
+    return stateful.read_stream(spark, folder, rows.schema, files_per_trigger=4).withWatermark("ts", "6 days")
+
+
+@query("event_time_session_chunks", _CHUNKS_SQL)
+def event_time_session_chunks(spark, sf):
+    stream = _late_stream(_delta_events(table(spark, sf, "events")), "session_id")
+    return stateful.run_available(eventtime.sentence_chunks(stream, ["session_id"], "event_id")).select("session_id", "chunk_idx", "chunk")
+
+
+@query("event_time_emotion_states", _STATES_SQL)
+def event_time_emotion_states(spark, sf):
+    events = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id", ts_ms().alias("ts_ms"), F.expr(MESSAGE).alias("text"))
+    readings = text_ops.tag_emotion(events).select("session_id", "ts", "event_id", "ts_ms", "emotion", "confidence")
+    return _state_columns(stateful.run_available(eventtime.emotion_states(_late_stream(readings, "session_id"), ["session_id"], "event_id")))
+
+
+@query("event_time_filler_plan", _FILLER)
+def event_time_filler_plan(spark, sf):
+    events = table(spark, sf, "events").select(
+        F.col("user_id").alias("session_id"), "ts", "event_id", (F.col("value") * 100.0 / 7).alias("rtt_ms"), (F.lit(44) + F.floor(F.col("value") * 4000)).alias("audio_bytes")
+    )
+    return _filler_columns(stateful.run_available(eventtime.filler_plan(_late_stream(events, "session_id"), ["session_id"], "event_id")))
+
+
+@query("event_time_utterances", _UTTERANCES)
+def event_time_utterances(spark, sf):
+    fr = frames(spark, sf)
+    last = table(spark, sf, "events").groupBy(F.col("user_id").alias("series_id")).agg(F.count(F.lit(1)).alias("_n"))
+    marked = fr.join(last, "series_id").select("series_id", "ts", "frame_idx", "value", (F.col("frame_idx") + 1 == F.col("_n")).alias("flush"))
+    return stateful.run_available(eventtime.utterances(_late_stream(marked, "series_id"), ["series_id"], **_LIMITS))
+
+
+@query("event_time_replay", _REPLAY)
+def event_time_replay(spark, sf):
+    """Every session logs its chunks, then reconnects once, a second after the last."""
+    fr = frames(spark, sf).select(F.col("series_id").alias("session_id"), "ts", F.col("frame_idx").alias("at"), F.lit("chunk").alias("type"), F.col("frame_idx").alias("idx"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("text"))
+    sizes = table(spark, sf, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.count(F.lit(1)).alias("n"), (F.max("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"))
+    asked = sizes.select("session_id", "ts", F.col("n").alias("at"), F.lit("resume").alias("type"), (F.col("n") - 25 + F.col("session_id") % 20).alias("idx"), F.lit(None).cast("string").alias("text"))
+    stream = _late_stream(fr.unionByName(asked), "session_id")
+    return stateful.run_available(eventtime.replayed(stream, ["session_id"])).select("session_id", "idx", "text")
