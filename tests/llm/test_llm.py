@@ -308,6 +308,35 @@ def test_token_counts(spark):
     assert token_counts.attribute(start, end, np.append(bounds, 9), "most")[0].tolist() == [0, 0, 0, 1]
 
 
+def sections_by_hand(text, coder, rule):
+    """(tokens, crossing tokens) of each line, token by token and byte by byte."""
+    lines = [x.encode() for x in (text or "").split("\n")]
+    lines = [x + b"\n" for x in lines[:-1]] + [x for x in lines[-1:] if x]
+    section = [i for i, x in enumerate(lines) for _ in x]
+    tokens, crossing, at = [0] * max(len(lines), 1), [0] * max(len(lines), 1), 0
+    for token in coder.encode_ordinary(text or ""):
+        held = section[at : at + len(coder.decode_single_token_bytes(token))]
+        at += len(held)
+        own = held[0] if rule == "first" else held[-1] if rule == "last" else min(set(held), key=lambda i: (-held.count(i), i))
+        tokens[own] += 1
+        crossing[own] += held[0] != held[-1]
+    return list(zip(tokens, crossing))
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_token_by_token(spark, rule):
+    """Every document, null ids and repeated rows too; no rows give no rows."""
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(RANKS, "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(r.doc_id, r.text) for r in read_table(spark, SF, "documents").select("doc_id", "text").collect()]
+    rows += [r for r in EDGE if r[0] not in (6, 7)] + [(40, "a\n\n\n\nb  \n\n  c é\n\n"), (41, "\n\n\n"), (42, "é\n文字\n\n\n\U0001f600")] * 2
+    got = token_counts.token_counts(frame(spark, rows), RANKS, PATTERN, rule).collect()
+    want = [(i, n, *pair) for i, text in rows for n, pair in enumerate(sections_by_hand(text, coder, rule))]
+    assert sorted(((r.doc_id, r.section, r.n_tokens, r.n_crossing) for r in got), key=str) == sorted(want, key=str)
+    assert sum(w[3] for w in want) > 5
+    assert token_counts.token_counts(frame(spark, []), RANKS, PATTERN, rule).count() == 0
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(1)
     text = np.concatenate([np.append(rng.integers(1, 4, k), 0) for k in (30, 1, 50, 80)])
