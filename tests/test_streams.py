@@ -295,3 +295,14 @@ def test_event_time_filler_utterances_and_replay(spark):
     got = stateful.run_available(eventtime.replayed(stream, ["k"], capacity=3)).collect()
     want = in_order(steps.recent_log(["k"], 3), rows, ("at", "type", "idx", "text"))
     assert sorted(map(tuple, got)) == want and len(want) > 20
+
+
+def test_event_time_late_rows_and_rows_without_a_time(spark):
+    """A row behind the watermark is dropped, one without a time too; rows the watermark has not reached wait."""
+    trip = lambda i, secs: ("s", secs, i, 6000.0, 44 + 48_000 * 3)
+    rows = [trip(0, 100.0), trip(1, 500.0), trip(2, 300.0), trip(4, None), trip(3, 50.0), trip(5, 2000.0), trip(6, 1990.0)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "k string, secs double, i long, rtt_ms double, audio_bytes long, n long").withColumn("ts", F.timestamp_micros((F.col("secs") * 1_000_000).cast("bigint")))
+    # files of two, two and three rows: in the second batch the watermark is 200 s, so in the third a row of 50 s is late
+    stream = batches(spark, df, "n", 3, "late").withWatermark("ts", "300 seconds")
+    got = stateful.run_available(eventtime.filler_plan(stream, ["k"], "i")).orderBy("total_filler_ms").collect()
+    assert [(r.i, r.gap_ms, r.total_filler_ms) for r in got] == [(0, 0.0, 0.0), (2, 3000.0, 3000.0), (1, 3000.0, 6000.0)]

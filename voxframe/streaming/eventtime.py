@@ -1,11 +1,15 @@
 """Session rules in event time: rows wait in list state until the watermark passes them, then a rule takes them in order.
 
 The rules are those of ``functions.steps``. Arrival order does not matter, within a micro-batch
-or across them, as long as a row comes before the watermark has passed it; later rows are
-dropped by Spark (``spend.RunningSpend`` shows how to keep such rows). Rows without a time are
-dropped, and so are those of before 1970, where a watermark begins. What a rule carries on is a value state of typed columns, which holds one message, one
+or across them, as long as a row comes before the micro-batch that takes its time; Spark drops
+a row that is behind the watermark of the micro-batch before its own (``spend.RunningSpend``
+shows how to keep such rows). Rows without a time are dropped, and so are those of before 1970,
+where a watermark begins. Rows that the watermark has not reached wait, also when a stream ends.
+
+What a rule carries on is a value state of typed columns, which holds one message, one
 utterance or four numbers; the replay log is a ring of map entries. A key has one timer, at its
-earliest waiting row; no more rows wait than come within the watermark's delay.
+earliest waiting row; no more rows wait than come within the watermark's delay, and those that
+fall due in one micro-batch are sorted in memory. Further columns are ignored.
 """
 
 from __future__ import annotations
